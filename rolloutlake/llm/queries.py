@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloutlake.llm import bpe
+from rolloutlake.llm import bpe, radix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": radix.p4_found,
+    "p4_copies": radix.p4_copies,
     "p8_ids": bpe.p8_ids,
     "p8_round_trip": bpe.p8_round_trip,
 }
