@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloutlake.llm import bpe, leaks, poisson, quotas, radix, replies, splits
+from rolloutlake.llm import bpe, leaks, personal, poisson, quotas, radix, replies, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p10_found": personal.p10_found,
+    "p10_replaced": personal.p10_replaced,
     "p1_found": replies.p1_found,
     "p1_report": replies.p1_report,
     "p6_found": quotas.p6_found,
