@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloutlake.llm import bpe, leaks, minhash, personal, poisson, quotas, radix, replies, splits
+from rolloutlake.llm import bpe, leaks, minhash, personal, poisson, quotas, radix, replies, segjoin, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": segjoin.p3_found,
+    "p3_report": segjoin.p3_report,
     "p5_found": minhash.p5_found,
     "p5_groups": minhash.p5_groups,
     "p10_found": personal.p10_found,
