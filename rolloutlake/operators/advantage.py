@@ -115,14 +115,6 @@ def reinforce_plus_plus_baseline(df: DataFrame, group="prompt_id", score="score"
     return centred.crossJoin(F.broadcast(stats)).withColumn(out, (F.col("_c") - F.col("_mu")) / F.sqrt(F.col("_var") + F.lit(1e-8))).drop("_c", "_mu", "_var")
 
 
-def softmean(score: Column, beta: float, window) -> Column:
-    """(logsumexp(beta*x) - log n) / beta over a window, shifted by its maximum; the mean when beta is 0."""
-    if beta == 0:
-        return F.avg(score).over(window)
-    peak = F.max(score * F.lit(beta)).over(window)
-    return (F.log(F.sum(F.exp(score * F.lit(beta) - peak)).over(window)) + peak - F.log(F.count(score).over(window).cast("double"))) / F.lit(beta)
-
-
 @register("sppo")
 def sppo(df: DataFrame, batch="prompt_id", score="score", beta: float = 1.0, out="advantage") -> DataFrame:
     """Score less the soft mean of its batch; peak and sum need two passes, so the peak is a column first."""
