@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloutlake.plans import advantages, frames
+from rolloutlake.plans import advantages, frames, samples, voting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (advantages, frames):
+for _module in (advantages, frames, samples, voting):
     for _name, (_query, _sql) in _module.CATALOG.items():
         if _name in QUERIES:
             raise ValueError(f"query {_name} is registered twice")
