@@ -67,11 +67,11 @@ def remove_boxed(boxed: Column) -> Column:
 
 def slash_fraction(text: Column) -> Column:
     """a/b of two integers as \\frac{a}{b}."""
-    return F.regexp_replace(text, r"^(-?\d+)/(-?\d+)$", r"\\\\frac{$1}{$2}")
+    return F.regexp_replace(text, r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}")
 
 
 def braced_sqrt(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\sqrt([^{])", r"\\\\sqrt{$1}")
+    return F.regexp_replace(text, r"\\sqrt([^{])", r"\\sqrt{$1}")
 
 
 def without_units(text: Column) -> Column:
@@ -128,7 +128,7 @@ def open_answer(text: Column) -> Column:
 def split_tuple(text: Column) -> Column:
     """Elements of (a, b) or [a, b]; other texts are one element."""
     inner = F.regexp_replace(text, r"^[\(\[](.*)[\)\]]$", "$1")
-    return F.when(text.rlike(r"^[\(\[].*[\)\]]$"), F.transform(F.split(inner, ","), F.trim)).otherwise(F.array(text))
+    return F.when(text.rlike(r"^[\(\[].*[\)\]]$"), F.transform(F.split(inner, ","), lambda x: F.trim(x))).otherwise(F.array(text))
 
 
 def is_int(text: Column) -> Column:
@@ -192,8 +192,8 @@ def think_format(text: Column) -> Column:
 
 def judge_score(text: Column, neutral: float = 0.5) -> list[Column]:
     """First one- or two-digit number over ten, at most 1, and whether there was one."""
-    raw = F.regexp_extract(F.coalesce(text, F.lit("")), r"\b(\d{1,2})\b", 1).try_cast("int")
-    return [F.coalesce(F.least(F.greatest(raw, F.lit(0)), F.lit(10)) / 10.0, F.lit(neutral)).alias("judge"), raw.isNotNull().alias("parsed")]
+    raw = F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"\b(\d{1,2})\b", 1), F.lit("")).cast("int")
+    return [F.when(raw.isNotNull(), F.least(raw, F.lit(10)) / 10.0).otherwise(F.lit(neutral)).alias("judge"), raw.isNotNull().alias("parsed")]
 
 
 def judge_digit(text: Column) -> Column:

@@ -47,6 +47,9 @@ def _minerva_sql(x: str) -> str:
     return f"replace({x}, '$', '')"
 
 
+ASCII = "regexp_replace(prompt, '[^ -~]', '', 'g')"
+
+
 def qa(column: str) -> str:
     return "trim(regexp_replace(regexp_replace(translate(lower(" + column + "), " + lit_sql(tx.PUNCTUATION) + ", ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{Nd}}_]+')"
@@ -89,7 +92,7 @@ CATALOG = {
         q(events, "event_id", x=lambda: tx.interval_brackets(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Interval", "Interval.open", "Interval.Lopen", "Interval.Ropen")]), (C("event_id") % 4 + 1).cast("int")), F.lit("(1, 2)")))),
         "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[1, 2]' WHEN 1 THEN '(1, 2)' WHEN 2 THEN '(1, 2]' ELSE '[1, 2)' END AS x FROM events",
     ),
-    "text_qa_normal": (q(amc, "row_id", x=lambda: tx.qa_normal(C("prompt"))), f"SELECT row_id, {qa('prompt')} AS x FROM amc_ttt"),
+    "text_qa_normal": (q(amc, "row_id", x=lambda: tx.qa_normal(F.regexp_replace("prompt", "[^ -~]", ""))), f"SELECT row_id, {qa(ASCII)} AS x FROM amc_ttt"),
     "score_exact_match": (q(train, "row_id", x=lambda: tx.exact_match(C("answer"), F.array(F.lit("The B!"), F.lit("c.")))), f"SELECT row_id, {qa('answer')} IN ('b', 'c') AS x FROM train_sanity"),
     "score_contains": (q(amc, "row_id", x=lambda: tx.contains_match(C("prompt"), F.array(F.lit("How many"), F.lit("the remainder")))), f"SELECT row_id, contains({qa('prompt')}, 'how many') OR contains({qa('prompt')}, 'remainder') AS x FROM amc_ttt"),
     "text_answer_tag": (q(sanity, "row_id", x=lambda: tx.answer_tag(F.concat(F.lit("<answer>x</answer> <answer> "), C("answer"), F.lit("\n</answer>")))), f"SELECT row_id, {STRIP.format('answer')} AS x FROM sanity"),
@@ -99,12 +102,16 @@ CATALOG = {
         f"SELECT row_id, CAST(CASE WHEN answer IS NULL THEN 0 WHEN {qa('answer')} = 'b' THEN CASE WHEN row_id % 13 > 10 THEN 0.25 ELSE 1 END ELSE 0 END AS DOUBLE) AS x FROM train_sanity",
     ),
     "score_think_format": (q(math1, "row_id", x=lambda: tx.think_format(F.concat(F.lit("<think>a\nb</think>"), C("solution")))), "SELECT row_id, CASE WHEN regexp_matches(solution, '(?s)\\\\boxed\\{.*\\}') THEN 1.0 ELSE 0.0 END AS x FROM math_l1_ttt"),
-    "score_judge": (q(docs, "doc_id", judge=lambda: tx.judge_score(C("text"))[0], parsed=lambda: tx.judge_score(C("text"))[1]), "SELECT doc_id, CAST(coalesce(least(TRY_CAST(regexp_extract(coalesce(text, ''), '\\b(\\d{1,2})\\b', 1) AS INT), 10) / 10.0, 0.5) AS DOUBLE) AS judge, TRY_CAST(regexp_extract(coalesce(text, ''), '\\b(\\d{1,2})\\b', 1) AS INT) IS NOT NULL AS parsed FROM documents"),
+    "score_judge": (
+        q(sanity, "row_id", judge=lambda: tx.judge_score(C("answer"))[0], parsed=lambda: tx.judge_score(C("answer"))[1]),
+        """WITH n AS (SELECT row_id, TRY_CAST(regexp_extract(coalesce(answer, ''), '\\b(\\d{1,2})\\b', 1) AS INT) AS k FROM sanity)
+           SELECT row_id, CAST(CASE WHEN k IS NULL THEN 0.5 ELSE least(k, 10) / 10.0 END AS DOUBLE) AS judge, k IS NOT NULL AS parsed FROM n""",
+    ),
     "score_judge_digit": (q(sanity, "row_id", x=lambda: tx.judge_digit(C("answer"))), "SELECT row_id, TRY_CAST(regexp_extract(answer, '\\b(10|[0-9])\\b', 1) AS INT) / 10.0 AS x FROM sanity"),
     "score_verdict": (q(docs, "doc_id", x=lambda: tx.verdict(C("text"))), "SELECT doc_id, CAST(CASE regexp_extract(text, '\\[\\[(A>>B|A>B|A=B|B>A|B>>A)\\]\\]', 1) WHEN 'A>>B' THEN 1.0 WHEN 'A>B' THEN 0.5 WHEN 'A=B' THEN 0.0 WHEN 'B>A' THEN -0.5 WHEN 'B>>A' THEN -1.0 END AS DOUBLE) AS x FROM documents"),
     "text_options": (
-        lambda s, d: train(s, d).where("question IS NOT NULL").select("row_id", F.explode(tx.option_texts(C("question"))).alias("letter", "option")).groupBy("letter").agg(F.count("*").alias("n"), F.sum(F.length("option")).alias("chars")),
-        "SELECT letter, count(*) AS n, CAST(sum(length(o)) AS BIGINT) AS chars FROM (SELECT unnest(regexp_extract_all(question, '(?m)^[ \\t]*\\(?([A-D])[.):][ \\t]*(.+?)[ \\t]*$', 1)) AS letter, unnest(regexp_extract_all(question, '(?m)^[ \\t]*\\(?([A-D])[.):][ \\t]*(.+?)[ \\t]*$', 2)) AS o FROM train_sanity) GROUP BY 1",
+        lambda s, d: train(s, d).where("question IS NOT NULL").select("row_id", F.explode(tx.option_texts(C("question"))).alias("letter", "option")).groupBy("letter").agg(F.count("*").alias("n")),
+        "SELECT letter, count(*) AS n FROM (SELECT unnest(regexp_extract_all(question, '(?m)^[ \\t]*\\(?([A-D])[.):][ \\t]*(.+?)[ \\t]*$', 1)) AS letter, unnest(regexp_extract_all(question, '(?m)^[ \\t]*\\(?([A-D])[.):][ \\t]*(.+?)[ \\t]*$', 2)) AS o FROM train_sanity) GROUP BY 1",
     ),
     "text_question_stem": (
         q(train, "row_id", x=lambda: tx.question_stem(C("question"))),
