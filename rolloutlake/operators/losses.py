@@ -14,13 +14,13 @@ def aggregate_loss(df: DataFrame, sequence: str, loss: str, mask: str, mode: str
     masked = F.sum(F.col(loss) * F.col(mask))
     if mode == "token-mean":
         return df.agg((masked / (F.sum(mask) + F.lit(1e-8))).alias("loss"))
-    per = df.groupBy(sequence).agg(masked.alias("s"), F.sum(mask).alias("m"))
+    per = df.groupBy(sequence).agg(masked.alias("_s"), F.sum(mask).alias("_m"))
     if mode == "seq-mean-token-sum":
-        return per.agg(F.avg("s").alias("loss"))
+        return per.agg(F.avg("_s").alias("loss"))
     if mode == "seq-mean-token-mean":
-        return per.agg(F.avg(F.col("s") / (F.col("m") + F.lit(1e-8))).alias("loss"))
+        return per.agg(F.avg(F.col("_s") / (F.col("_m") + F.lit(1e-8))).alias("loss"))
     if mode == "seq-mean-token-sum-norm":
-        return per.agg((F.sum("s") / F.lit(padded_length)).alias("loss"))
+        return per.agg((F.sum("_s") / F.lit(padded_length)).alias("loss"))
     raise ValueError(f"unknown loss mode {mode!r}")
 
 
@@ -49,15 +49,15 @@ def policy_loss(df: DataFrame, old: str, new: str, advantage: str, mask: str, **
 def sequence_ratio(df: DataFrame, sequence: str, old: str, new: str, mask: str) -> DataFrame:
     """Length-normalised sequence ratio exp(mean masked log-ratio), at most e^10."""
     m = F.col(mask)
-    return df.groupBy(sequence).agg(F.exp(F.least(F.sum((F.col(new) - F.col(old)) * m) / F.greatest(F.sum(m), F.lit(1)), F.lit(10.0))).alias("ratio"))
+    return df.groupBy(sequence).agg(F.exp(F.least(F.sum((F.col(new) - F.col(old)) * m) / F.greatest(F.sum(m), F.lit(1)), F.lit(10.0))).alias("_ratio"))
 
 
 def gspo_loss(df: DataFrame, sequence: str, old: str, new: str, advantage: str, mask: str, low: float = 0.2, high: float = 0.2) -> DataFrame:
     """Sequence-mean of the clipped loss with the sequence ratio."""
     r = sequence_ratio(df, sequence, old, new, mask)
-    per = df.groupBy(sequence).agg(F.sum(F.col(advantage) * F.col(mask)).alias("a"), F.sum(mask).alias("n")).join(r, sequence)
-    mean_a = F.col("a") / (F.col("n") + F.lit(1e-8))
-    return per.agg(F.avg(F.greatest(-mean_a * F.col("ratio"), -mean_a * _clip(F.col("ratio"), 1 - low, 1 + high))).alias("loss"))
+    per = df.groupBy(sequence).agg(F.sum(F.col(advantage) * F.col(mask)).alias("_a"), F.sum(mask).alias("_n")).join(r, sequence)
+    mean_a = F.col("_a") / (F.col("_n") + F.lit(1e-8))
+    return per.agg(F.avg(F.greatest(-mean_a * F.col("_ratio"), -mean_a * _clip(F.col("_ratio"), 1 - low, 1 + high))).alias("loss"))
 
 
 def kl_cov_tokens(df: DataFrame, key: str, new: str, advantage: str, mask: str, share: float) -> DataFrame:
@@ -92,15 +92,15 @@ def sigmoid(x: Column) -> Column:
 
 def reward_model_ce(df: DataFrame, sequence: str, score: str, mask: str, acc: str, beta: float) -> DataFrame:
     """Binary cross entropy of sigmoid(beta x sum of scores) against accuracy."""
-    per = df.groupBy(sequence).agg(F.sum(F.col(score) * F.col(mask)).alias("q"), F.max(acc).alias("acc"))
-    p = sigmoid(F.col("q") * F.lit(beta))
-    return per.agg((-F.avg(F.col("acc") * F.log(p) + (1 - F.col("acc")) * F.log(1 - p))).alias("loss"))
+    per = df.groupBy(sequence).agg(F.sum(F.col(score) * F.col(mask)).alias("_q"), F.max(acc).alias("_acc"))
+    p = sigmoid(F.col("_q") * F.lit(beta))
+    return per.agg((-F.avg(F.col("_acc") * F.log(p) + (1 - F.col("_acc")) * F.log(1 - p))).alias("loss"))
 
 
 def absolute_accuracy(df: DataFrame, sequence: str, score: str, mask: str, acc: str) -> DataFrame:
     """Share of sequences whose score sum has the sign of 2 acc - 1."""
-    per = df.groupBy(sequence).agg(F.sum(F.col(score) * F.col(mask)).alias("q"), F.max(acc).alias("acc"))
-    return per.agg(F.avg((F.signum("q") == F.signum(2 * F.col("acc") - 1)).cast("double")).alias("accuracy"))
+    per = df.groupBy(sequence).agg(F.sum(F.col(score) * F.col(mask)).alias("_q"), F.max(acc).alias("_acc"))
+    return per.agg(F.avg((F.signum("_q") == F.signum(2 * F.col("_acc") - 1)).cast("double")).alias("accuracy"))
 
 
 def pairwise_accuracy(df: DataFrame, group: str, index: str, score: str, acc: str) -> DataFrame:
@@ -134,5 +134,5 @@ def sequence_log_probs(df: DataFrame, sequence: str, log_prob: str, label: str,
 def sppo_loss(df: DataFrame, sequence: str, old: str, new: str, reward: str, mask: str, eta: float = 1.0) -> DataFrame:
     """Mean of (sum new - sum old - eta x reward)^2 over sequences with any valid token."""
     m = F.col(mask)
-    per = df.groupBy(sequence).agg(F.sum((F.col(new) - F.col(old)) * m).alias("d"), F.max(reward).alias("r"), F.max(m).alias("any"))
-    return per.where("any > 0").agg(F.avg(F.pow(F.col("d") - F.lit(eta) * F.col("r"), F.lit(2.0))).alias("loss"))
+    per = df.groupBy(sequence).agg(F.sum((F.col(new) - F.col(old)) * m).alias("_d"), F.max(reward).alias("_r"), F.max(m).alias("_any"))
+    return per.where("_any > 0").agg(F.avg(F.pow(F.col("_d") - F.lit(eta) * F.col("_r"), F.lit(2.0))).alias("loss"))
