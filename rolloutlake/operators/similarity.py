@@ -165,14 +165,23 @@ def cluster_stats(df: DataFrame, group: str, key: str, band: str, vector: str) -
 def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query: str = "q_id", vector: str = "embedding", query_vector: str = "q_vec") -> DataFrame:
     """Top k rows by inner product for a stated query set, in blocks.
 
-    The query set is bounded by MOST_QUERIES (checked). Each batch of the corpus is one matrix product with it and keeps
-    its own top k per query; only those reach the shuffle.
+    Queries are taken in blocks of about MOST_QUERIES (counted first), each sent to the executors once. A batch of the
+    corpus meets a block as matrix products of 256 queries at a time and keeps its own top k per query; only those
+    reach the shuffle.
     """
-    rows = [(r[0], list(r[1])) for r in queries.select(query, query_vector).limit(MOST_QUERIES + 1).collect()]
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: split the query set and union the results")
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
     qk, dk = queries.schema[query].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+    found = None
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b).select(query, query_vector).collect()
+        part = docs.select(key, vector).mapInPandas(_block_search(docs.sparkSession, rows, k, key, query, vector), f"{query} {qk}, {key} {dk}, score double")
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 9).desc(), key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _block_search(spark, rows, k: int, key: str, query: str, vector: str):
+    sent = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in rows])
 
     def run(frames):
         ids = [r[0] for r in sent.value]
@@ -180,18 +189,20 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
         for part in frames:
             if not len(part) or not len(ids):
                 continue
-            scores = np.stack(part[vector].to_numpy()).astype(float) @ q.T
+            x = np.stack(part[vector].to_numpy()).astype(float)
             keys = part[key].to_numpy()
-            for j, i in enumerate(ids):
-                order = np.lexsort((keys, -np.round(scores[:, j], 9)))[:k]
-                yield pd.DataFrame({query: [i] * len(order), key: keys[order], "score": scores[order, j]})
+            for at in range(0, len(ids), 256):
+                scores = np.round(x @ q[at : at + 256].T, 9)
+                least = np.partition(scores, max(0, len(keys) - k), axis=0)[max(0, len(keys) - k)]
+                for j in range(scores.shape[1]):
+                    near = np.flatnonzero(scores[:, j] >= least[j])
+                    order = near[np.lexsort((keys[near], -scores[near, j]))][:k]
+                    yield pd.DataFrame({query: [ids[at + j]] * len(order), key: keys[order], "score": scores[order, j]})
 
-    found = docs.select(key, vector).mapInPandas(run, f"{query} {qk}, {key} {dk}, score double")
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 9).desc(), key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return run
 
 
-#: Bound of one call's query set (vectors of 64 floats: 5 MB).
+#: Size of a block of queries (vectors of 64 floats: 5 MB).
 MOST_QUERIES = 20_000
 
 
