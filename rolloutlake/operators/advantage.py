@@ -51,48 +51,56 @@ def confidence_weight(confidence: Column) -> Column:
     return F.exp(confidence - F.lit(1.0))
 
 
+def with_group_stats(df: DataFrame, group: str, **stats: Column) -> DataFrame:
+    """Rows with aggregates of their group.
+
+    Aggregates are summed up before the shuffle and joined back, so a prompt with a third of all rows is never sorted
+    into one task: its rows stay where they are when the groups are few, and adaptive skew handling splits them
+    otherwise. A null group is a group of its own.
+    """
+    sums = df.groupBy(F.col(group).alias("_key")).agg(*[c.alias(n) for n, c in stats.items()])
+    return df.join(sums, F.col(group).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 @register("grpo")
 def grpo(df: DataFrame, group="prompt_id", score="score", by_std: bool = True, confidence: str | None = None, out="advantage") -> DataFrame:
     """(score - group mean) / (sample std + 1e-6); a lone rollout has mean 0 and std 1. by_std=False keeps the difference."""
-    w = Window.partitionBy(group)
-    lone = F.count(F.lit(1)).over(w) == 1
-    centred = F.col(score) - F.when(lone, F.lit(0.0)).otherwise(F.avg(score).over(w))
-    value = centred / (F.when(lone, F.lit(1.0)).otherwise(F.stddev_samp(score).over(w)) + F.lit(EPSILON)) if by_std else centred
+    rows = with_group_stats(df, group, _n=F.count(F.lit(1)), _mean=F.avg(score), _std=F.stddev_samp(score))
+    lone = F.col("_n") == 1
+    value = F.col(score) - F.when(lone, F.lit(0.0)).otherwise(F.col("_mean"))
+    if by_std:
+        value = value / (F.when(lone, F.lit(1.0)).otherwise(F.col("_std")) + F.lit(EPSILON))
     if confidence is not None:
         value = value * confidence_weight(F.col(confidence))
-    return df.withColumn(out, value)
+    return rows.withColumn(out, value).drop("_n", "_mean", "_std")
 
 
 @register("grpo_passk")
 def grpo_passk(df: DataFrame, group="prompt_id", order="rollout_idx", score="score", by_std: bool = True, out="advantage") -> DataFrame:
     """Only the best rollout gets (best - second best) [/ (sample std + 1e-6)]; groups of one are an error."""
-    w = Window.partitionBy(group)
-    ranked = w.orderBy(F.col(score).desc(), F.col(order).asc())
-    rows = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count(F.lit(1)).over(w)
-    gap = F.first(score).over(rows) - F.nth_value(score, 2).over(rows)
+    place = F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"))
+    best = with_group_stats(df, group, _n=F.count(F.lit(1)), _std=F.stddev_samp(score), _best=F.max(place)).withColumn("_is", place == F.col("_best"))
+    rows = with_group_stats(best, group, _second=F.max(F.when(~F.col("_is"), F.col(score))))
+    gap = F.col("_best.s") - F.col("_second")
     if by_std:
-        gap = gap / (F.stddev_samp(score).over(w) + F.lit(EPSILON))
-    best = F.row_number().over(ranked) == 1
-    value = F.when(n < 2, F.raise_error(F.lit("pass@k advantage needs groups of two or more")).cast("double")).when(best, gap).otherwise(F.lit(0.0))
-    return df.withColumn(out, value)
+        gap = gap / (F.col("_std") + F.lit(EPSILON))
+    value = F.when(F.col("_n") < 2, F.raise_error(F.lit("pass@k advantage needs groups of two or more")).cast("double")).when(F.col("_is"), gap).otherwise(F.lit(0.0))
+    return rows.withColumn(out, value).drop("_n", "_std", "_best", "_is", "_second")
 
 
 @register("rloo")
 def rloo(df: DataFrame, group="prompt_id", score="score", out="advantage") -> DataFrame:
     """Leave-one-out baseline: s*n/(n-1) - mean*n/(n-1); a lone rollout keeps its score."""
-    w = Window.partitionBy(group)
-    n = F.count(F.lit(1)).over(w)
-    ratio = n / (n - 1)
-    return df.withColumn(out, F.when(n > 1, F.col(score) * ratio - F.avg(score).over(w) * ratio).otherwise(F.col(score)))
+    rows = with_group_stats(df, group, _n=F.count(F.lit(1)), _mean=F.avg(score))
+    ratio = F.col("_n") / (F.col("_n") - 1)
+    return rows.withColumn(out, F.when(F.col("_n") > 1, (F.col(score) - F.col("_mean")) * ratio).otherwise(F.col(score))).drop("_n", "_mean")
 
 
 @register("opo")
 def opo(df: DataFrame, group="prompt_id", score="score", length="length", out="advantage") -> DataFrame:
     """Length-weighted group baseline; a lone rollout's baseline is 0."""
-    w = Window.partitionBy(group)
-    baseline = F.sum(F.col(length) * F.col(score)).over(w) / F.sum(length).over(w)
-    return df.withColumn(out, F.col(score) - F.when(F.count(F.lit(1)).over(w) > 1, baseline).otherwise(F.lit(0.0)))
+    rows = with_group_stats(df, group, _n=F.count(F.lit(1)), _ls=F.sum(F.col(length) * F.col(score)), _l=F.sum(length))
+    return rows.withColumn(out, F.col(score) - F.when(F.col("_n") > 1, F.col("_ls") / F.col("_l")).otherwise(F.lit(0.0))).drop("_n", "_ls", "_l")
 
 
 @register("remax")
@@ -109,18 +117,18 @@ def reinforce_plus_plus_baseline(df: DataFrame, group="prompt_id", score="score"
 
     The table's mean and variance come from one partial aggregate; the one-row result is broadcast.
     """
-    w = Window.partitionBy(group)
-    centred = df.withColumn("_c", F.when(F.count(F.lit(1)).over(w) > 1, F.col(score) - F.avg(score).over(w)).otherwise(F.lit(0.0)))
+    rows = with_group_stats(df, group, _n=F.count(F.lit(1)), _mean=F.avg(score))
+    centred = rows.withColumn("_c", F.when(F.col("_n") > 1, F.col(score) - F.col("_mean")).otherwise(F.lit(0.0))).drop("_n", "_mean")
     stats = centred.agg(F.avg("_c").alias("_mu"), F.var_samp("_c").alias("_var"))
     return centred.crossJoin(F.broadcast(stats)).withColumn(out, (F.col("_c") - F.col("_mu")) / F.sqrt(F.col("_var") + F.lit(1e-8))).drop("_c", "_mu", "_var")
 
 
 @register("sppo")
 def sppo(df: DataFrame, batch="prompt_id", score="score", beta: float = 1.0, out="advantage") -> DataFrame:
-    """Score less the soft mean of its batch; peak and sum need two passes, so the peak is a column first."""
-    w = Window.partitionBy(batch)
+    """Score less the soft mean (logsumexp(beta x) - log n) / beta of its batch; the plain mean when beta is 0."""
     if beta == 0:
-        return df.withColumn(out, F.col(score) - F.avg(score).over(w))
-    peaked = df.withColumn("_peak", F.max(F.col(score) * F.lit(beta)).over(w))
-    soft = (F.log(F.sum(F.exp(F.col(score) * F.lit(beta) - F.col("_peak"))).over(w)) + F.col("_peak") - F.log(F.count(score).over(w).cast("double"))) / F.lit(beta)
-    return peaked.withColumn(out, F.col(score) - soft).drop("_peak")
+        return with_group_stats(df, batch, _mean=F.avg(score)).withColumn(out, F.col(score) - F.col("_mean")).drop("_mean")
+    peaked = with_group_stats(df, batch, _peak=F.max(F.col(score) * F.lit(beta)), _n=F.count(score))
+    rows = with_group_stats(peaked, batch, _sum=F.sum(F.exp(F.col(score) * F.lit(beta) - F.col("_peak"))))
+    soft = (F.log("_sum") + F.col("_peak") - F.log(F.col("_n").cast("double"))) / F.lit(beta)
+    return rows.withColumn(out, F.col(score) - soft).drop("_peak", "_n", "_sum")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolloutlake.operators.advantage import with_group_stats
+
 #: Label of rows without a category.
 UNCATEGORISED = "(Uncategorized)"
 
@@ -109,15 +111,14 @@ def first_k(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
 
 def varied_groups(df: DataFrame, group: str, score: str) -> DataFrame:
     """Groups whose population standard deviation is above zero, or of a single row."""
-    w = Window.partitionBy(group)
-    keep = df.withColumn("_s", F.stddev_pop(score).over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
+    keep = with_group_stats(df, group, _s=F.stddev_pop(score), _n=F.count(F.lit(1)))
     return keep.where((F.col("_s") > 0) | (F.col("_n") == 1)).drop("_s", "_n")
 
 
 def accuracy_band(df: DataFrame, group: str, score: str, length: str, low: float, high: float, cap: int) -> DataFrame:
     """Adds ``passes``: mean score within [low, high] and no length at the cap; passing groups come first downstream."""
-    w = Window.partitionBy(group)
-    return df.withColumn("passes", F.avg(score).over(w).between(low, high) & (F.max(length).over(w) < cap - 1))
+    rows = with_group_stats(df, group, _m=F.avg(score), _x=F.max(length))
+    return rows.withColumn("passes", F.col("_m").between(low, high) & (F.col("_x") < cap - 1)).drop("_m", "_x")
 
 
 def resample_weights(df: DataFrame, score: str, method: str = "pow", power: float = 2.0, out: str = "weight") -> DataFrame:

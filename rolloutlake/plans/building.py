@@ -84,8 +84,9 @@ NOVELTY = """WITH e AS (SELECT vec_id, label, row_number() OVER (PARTITION BY la
 def _written(s, d):
     """Rollouts written as JSON lines by step and read back."""
     import tempfile
+    import uuid
 
-    path = tempfile.mkdtemp(prefix="rolloutlake-sink-") if s.sparkContext.master.startswith("local[") else f"{s.conf.get('spark.checkpoint.dir')}/sink-{s.sparkContext.applicationId}"
+    path = tempfile.mkdtemp(prefix="rolloutlake-sink-") if s.sparkContext.master.startswith("local[") else f"{s.conf.get('spark.checkpoint.dir')}/sink-{uuid.uuid4().hex}"
     sk.rollouts_by_step(events(s, d).select((C("event_id") % 4).alias("step"), "event_id", "event_type", "value"), f"file://{path}" if path.startswith("/") else path)
     return s.read.json(path).groupBy("step").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 

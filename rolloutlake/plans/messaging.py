@@ -45,11 +45,12 @@ def _search(s, d):
 def _scan_json(s, d):
     """The same rows through JSON lines and through Parquet."""
     import tempfile
+    import uuid
 
     from rolloutlake.sources.readers import read_any
 
     local = s.sparkContext.master.startswith("local[")
-    path = (tempfile.mkdtemp(prefix="rolloutlake-scan-") if local else f"{s.conf.get('spark.checkpoint.dir')}/scan-{s.sparkContext.applicationId}") + "/rows.jsonl"
+    path = (tempfile.mkdtemp(prefix="rolloutlake-scan-") if local else f"{s.conf.get('spark.checkpoint.dir')}/scan-{uuid.uuid4().hex}") + "/rows.jsonl"
     amc(s, d).select("row_id", "prompt", "answer").write.mode("overwrite").json(path)
     return read_any(s, [path, f"{d}/math_l1_ttt.parquet"]).groupBy(F.col("unique_id").isNull().alias("flat")).agg(F.count("*").alias("n"), F.count("solution").alias("solutions"))
 
