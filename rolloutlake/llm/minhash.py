@@ -2,11 +2,13 @@
 
 Two permutations give all coordinates: a word is placed by sigma, and coordinate k of a set is the smallest value of
 pi, shifted circularly by k, over the places of its words. The signature of a word is thus one stretch of pi, and a
-set's signature the coordinate-wise minimum of its words' stretches. Words of more than FREQUENT of all sets are left
-out of the signatures (not out of the verification), which keeps unrelated records of one template apart.
+set's signature the coordinate-wise minimum of its words' stretches. Every set is signed with all its words, frequent
+ones included, so what a pair's signatures share is its similarity, also inside a hot group; bands of six rows keep
+unrelated records of one template apart.
 
-Sets whose band agrees, together with their numbers, are candidates. Small bands compare their members pairwise
-behind a sketch test; a band of more than HOT members compares them with its first member only, and what is then
+Sets whose band agrees, together with their numbers, are candidates. Sets whose numbers stand in no more than HOT sets
+need no signature: they have one band, their numbers. Small bands compare their members pairwise
+behind a sketch test, which never drops a pair within the similarity; a band of more than HOT members compares them with its first member only, and what is then
 still unlinked with all members, so no pair inside a band is lost and none is compared for nothing. Bands that hold
 a large share of the rows are found before the shuffle and salted.
 Candidates are verified by their exact similarity, and groups are the connected components.
@@ -26,14 +28,11 @@ from pyspark.sql import functions as F
 
 from rolloutlake.llm import common, components, wordsets
 
-BANDS, ROWS = 20, 4
-CHECKS = 16
+BANDS, ROWS = 50, 6
+#: Sets that are signed at once.
+SIGNED = 1024
 PLACES = 1 << 20
 SIMILARITY = 0.7
-#: Sets with fewer rare words are signed with all their words.
-FEW = 6
-#: Checks that must agree before a candidate is verified; 0.1 % of pairs with a signature similarity of 0.55 have fewer.
-AGREE = 4
 #: Largest band that is compared pairwise, and rows per salt of a heavier one.
 HOT = 64
 SALT_ROWS = 50_000
@@ -47,14 +46,13 @@ def _pi(seed: int = 11) -> np.ndarray:
     """The circular permutation, with its head repeated behind its tail."""
     if seed not in _TABLES:
         p = np.random.RandomState(seed).permutation(PLACES).astype(np.uint32)
-        _TABLES[seed] = np.concatenate([p, p[: BANDS * ROWS + CHECKS]])
+        _TABLES[seed] = np.concatenate([p, p[: BANDS * ROWS]])
     return _TABLES[seed]
 
 
 def signatures(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Signatures of sets: ``places`` are sigma's places of all words, ``offsets`` the start of each (non-empty) set."""
-    size = BANDS * ROWS + CHECKS
-    stretches = np.lib.stride_tricks.sliding_window_view(_pi(), size)[places]
+    stretches = np.lib.stride_tricks.sliding_window_view(_pi(), BANDS * ROWS)[places]
     return np.minimum.reduceat(stretches, offsets, axis=0)
 
 
@@ -63,17 +61,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _keys(part: pa.RecordBatch, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (with the numbers) of a batch's sets, and a sketch of sixteen four-bit checks each."""
-    lists = part.column(2)
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists one after the other, and where each list begins and ends."""
     offsets = np.asarray(lists.offsets).astype(np.int64)
-    flat = np.asarray(lists.values)[offsets[0] : offsets[-1]]
-    owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-    rare = ~np.isin(flat, frequent)
-    few = np.bincount(owner[rare], minlength=part.num_rows) < FEW
-    used = rare | few[owner]
-    starts = np.searchsorted(owner[used], np.arange(part.num_rows))
-    sig = signatures(flat[used] & (PLACES - 1), starts).astype(np.uint64)
+    return np.asarray(lists.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _keys(part: pa.RecordBatch) -> np.ndarray:
+    """Band keys (with the numbers) of a batch's sets."""
+    flat, offsets = _flat(part.column(2))
+    sig = signatures(flat & (PLACES - 1), offsets[:-1]).astype(np.uint64)
     numbers = np.asarray(part.column(1)).astype(np.uint64)
     keys = np.empty((len(sig), BANDS), np.uint64)
     with np.errstate(over="ignore"):
@@ -82,76 +79,75 @@ def _keys(part: pa.RecordBatch, frequent: np.ndarray) -> tuple[np.ndarray, np.nd
             for r in range(ROWS):
                 h = _mix(h ^ sig[:, b * ROWS + r])
             keys[:, b] = _mix(h)
-    sketch = np.zeros(len(sig), np.uint64)
-    for c in range(CHECKS):
-        sketch |= (sig[:, BANDS * ROWS + c] & np.uint64(15)) << np.uint64(4 * c)
-    return keys.view(np.int64), sketch.view(np.int64)
+    return keys.view(np.int64)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch test: at least AGREE of the sixteen checks are equal."""
-    x = (a ^ b).view(np.uint64)
-    x = x | (x >> np.uint64(1))
-    x = (x | (x >> np.uint64(2))) & np.uint64(0x1111111111111111)
-    return CHECKS - np.bitwise_count(x) >= AGREE
+def _sketches(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of each set fall on each of 64 bits, modulo 2, and the size of the set."""
+    flat, offsets = _flat(part.column(2))
+    bits = np.uint64(1) << ((flat.astype(np.int64) >> 20) & 63).astype(np.uint64)
+    return np.bitwise_xor.reduceat(bits, offsets[:-1]).view(np.int64), np.diff(offsets)
 
 
-def frequent_codes(classes: DataFrame) -> np.ndarray:
-    """Codes of words in more than FREQUENT of all sets: at most (mean set size / FREQUENT) of them."""
-    total = classes.count()
-    counts = classes.select(F.explode("codes").alias("c")).groupBy("c").count().where(F.col("count") > wordsets.FREQUENT * total)
-    return np.array(sorted(r.c for r in counts.select("c").collect()), np.int32)
+def alike(a: np.ndarray, b: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The sketch test: no more bits differ than words may, in two sets of joint size ``joint`` within the similarity."""
+    return np.bitwise_count((a ^ b).view(np.uint64)) * (1 + SIMILARITY) <= (1 - SIMILARITY) * joint + 1e-9
 
 
-def heavy_bands(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+def heavy_bands(sets: DataFrame) -> DataFrame:
     """(band, n) of bands that hold a large share of a batch somewhere: counted before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys, counts = np.unique(_keys(batch, frequent)[0], return_counts=True)
+            parts = [batch.slice(at, SIGNED) for at in range(0, batch.num_rows, SIGNED)]
+            if parts:
+                keys, counts = np.unique(np.concatenate([_keys(part) for part in parts]), return_counts=True)
                 many = counts >= max(HOT, batch.num_rows // 100)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(counts[many])], names=["band", "n"])
 
     return sets.mapInArrow(run, "band long, n long").groupBy("band").agg(F.sum("n").alias("n"))
 
 
-def band_rows(sets: DataFrame, frequent: np.ndarray, heavy: dict[int, int]) -> DataFrame:
-    """(band, salt, cid, sketch) for every set and band; rows of heavy bands are salted."""
+def band_rows(sets: DataFrame, heavy: dict[int, int], signed: bool) -> DataFrame:
+    """(band, salt, cid, sketch, n) for every set and band; rows of heavy bands are salted. Unsigned sets have one band."""
     known = np.array(sorted(heavy), np.int64)
     salts = np.array([heavy[k] for k in sorted(heavy)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                keys, sketch = _keys(part, frequent)
-                cid = np.repeat(np.asarray(part.column(0)), BANDS)
+            for at in range(0, batch.num_rows, SIGNED):
+                part = batch.slice(at, SIGNED)
+                keys = _keys(part) if signed else np.asarray(part.column(1)).reshape(-1, 1)
+                sketch, n = _sketches(part)
+                times = keys.shape[1]
+                cid = np.repeat(np.asarray(part.column(0)), times)
                 band = keys.ravel()
                 salt = np.zeros(len(band), np.int32)
-                if len(known):
+                if signed and len(known):
                     where = np.minimum(np.searchsorted(known, band), len(known) - 1)
                     hit = known[where] == band
                     with np.errstate(over="ignore"):
                         spread = _mix(cid[hit].astype(np.uint64)) % salts[where[hit]].astype(np.uint64)
                     salt[hit] = spread.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(salt), pa.array(cid), pa.array(np.repeat(sketch, BANDS))], names=["band", "salt", "cid", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(band), pa.array(salt), pa.array(cid), pa.array(np.repeat(sketch, times)), pa.array(np.repeat(n, times).astype(np.int32))], names=["band", "salt", "cid", "sketch", "n"]
+                )
 
-    return sets.mapInArrow(run, "band long, salt int, cid long, sketch long")
+    return sets.mapInArrow(run, "band long, salt int, cid long, sketch long, n int")
 
 
 def _read_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates from rows sorted by band, salt and class.
 
     Bands of up to HOT members give their alike pairs (hot false). Of larger ones every member comes out beside the
-    first (hot true); the rows pass through, so memory is bounded by a batch and HOT rows.
+    first (hot true), with the sketch test of the two (like); the rows pass through, so memory is bounded by a batch and HOT rows.
     """
     hot_limit = HOT
-    names = ["hot", "band", "a", "b", "sketch"]
-    empty = [np.zeros(0, np.int64)] * 4
-    held, lead, hot = empty, 0, False  # the unfinished run: its rows (until it is hot), its first class, whether it is hot
+    names = ["hot", "band", "a", "b", "sketch", "n", "like"]
+    empty = [np.zeros(0, np.int64)] * 5
+    held, lead, hot = empty, (0, 0, 0), False  # the unfinished run: its rows (until it is hot), class, sketch and size of its first, whether it is hot
 
-    def pairs(band, cid, sketch):
+    def pairs(band, cid, sketch, n):
         out_a, out_b = [], []
         for gap in range(1, hot_limit):
             same = band[:-gap] == band[gap:] if gap < len(band) else np.zeros(0, bool)
@@ -159,41 +155,47 @@ def _read_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(same & same_salt)
             if not len(at):
                 break
-            at = at[alike(sketch[at], sketch[at + gap])]
+            at = at[alike(sketch[at], sketch[at + gap], n[at] + n[at + gap])]
             out_a.append(cid[at])
             out_b.append(cid[at + gap])
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
 
-    def record(is_hot, band, a, b, sketch):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_hot)), pa.array(band), pa.array(a), pa.array(b), pa.array(sketch)], names=names)
+    def record(is_hot, band, a, b, sketch, n, like):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_hot)), pa.array(band), pa.array(a), pa.array(b), pa.array(sketch), pa.array(n), pa.array(like)], names=names)
+
+    def beside(cols, first):
+        """Rows of hot runs beside class, sketch and size of their first."""
+        band, _, cid, sketch, n = cols
+        a, b, c = (np.broadcast_to(x, len(cid)) for x in first)
+        return record(True, band, cid, a, sketch, n, alike(sketch, b, n + c))
 
     def finish(cols, starts, ends):
         """Whole runs: small ones to pairs, large ones to rows beside their first."""
         nonlocal salt_now
-        band, salt, cid, sketch = cols
+        band, salt, cid, sketch, n = cols
         sizes = ends - starts
         small = np.repeat(sizes <= hot_limit, sizes)
         salt_now = salt[small]
-        a, b = pairs(band[small], cid[small], sketch[small])
-        yield record(False, np.zeros(len(a), np.int64), a, b, np.zeros(len(a), np.int64))
+        a, b = pairs(band[small], cid[small], sketch[small], n[small])
+        none = np.zeros(len(a), np.int64)
+        yield record(False, none, a, b, none, none, np.ones(len(a), bool))
         if not small.all():
-            firsts = np.repeat(cid[starts], sizes)
-            yield record(True, band[~small], cid[~small], firsts[~small], sketch[~small])
+            yield beside([c[~small] for c in cols], [np.repeat(c[starts], sizes)[~small] for c in (cid, sketch, n)])
 
     salt_now = np.zeros(0, np.int64)
     last_key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64), np.asarray(batch.column(2)), np.asarray(batch.column(3))]
+        cols = [np.asarray(batch.column(k)).astype(np.int64) for k in range(5)]
         if hot:
             # The run that began earlier is hot: pass its rows on as they come.
             inside = (cols[0] == last_key[0]) & (cols[1] == last_key[1])
-            n = int(inside.sum())
-            yield record(True, cols[0][:n], cols[2][:n], np.full(n, lead), cols[3][:n])
-            if n == len(inside):
+            k = int(inside.sum())
+            yield beside([c[:k] for c in cols], lead)
+            if k == len(inside):
                 continue
-            cols, hot = [c[n:] for c in cols], False
+            cols, hot = [c[k:] for c in cols], False
         cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
         starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(cols[0])]])
@@ -203,19 +205,16 @@ def _read_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [c[at:] for c in cols]
         last_key = (held[0][0], held[1][0])
         if len(held[0]) > hot_limit:
-            hot, lead = True, int(held[2][0])
-            yield record(True, held[0], held[2], np.full(len(held[2]), lead), held[3])
+            hot, lead = True, tuple(int(c[0]) for c in held[2:])
+            yield beside(held, lead)
             held = empty
     if len(held[0]):
         yield from finish(held, np.array([0]), np.array([len(held[0])]))
 
 
-def _alike_columns(a: str, b: str):
+def _alike_columns(a: str, b: str, m: str, n: str):
     """The sketch test on columns."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    return F.lit(CHECKS) - F.bit_count(x) >= AGREE
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) * F.lit(1 + SIMILARITY) <= F.lit(1 - SIMILARITY) * (F.col(m) + F.col(n)) + 1e-9
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -232,30 +231,31 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes that connect all that is to be connected."""
-    frequent = frequent_codes(classes)
     sets = classes.where(F.size("codes") > 0).select("cid", F.xxhash64("numbers").alias("nh"), "codes")
+    crowded = common.written(sets.groupBy("nh").count().where(F.col("count") > HOT).select("nh"), "crowded")
+    signed, lone = sets.join(crowded, "nh", "left_semi").select("cid", "nh", "codes"), sets.join(crowded, "nh", "left_anti").select("cid", "nh", "codes")
     # At most BANDS / HEAVY bands can hold that share of all sets.
-    many = heavy_bands(sets, frequent).where(F.col("n") >= HEAVY * classes.count())
+    many = heavy_bands(signed).where(F.col("n") >= HEAVY * classes.count())
     heavy = {r.band: r.n // SALT_ROWS + 1 for r in many.collect()}
-    rows = band_rows(sets, frequent, heavy).repartition("band", "salt").sortWithinPartitions("band", "salt", "cid")
-    read = common.written(rows.mapInArrow(_read_bands, "hot boolean, band long, a long, b long, sketch long"), "candidates")
+    rows = band_rows(signed, heavy, True).unionByName(band_rows(lone, {}, False)).repartition("band", "salt").sortWithinPartitions("band", "salt", "cid")
+    read = common.written(rows.mapInArrow(_read_bands, "hot boolean, band long, a long, b long, sketch long, n long, like boolean"), "candidates")
     found = read.where("NOT hot").select("a", "b").distinct()
-    hot = read.where("hot").select("band", F.col("a").alias("cid"), F.col("b").alias("lead"), "sketch")
+    hot = read.where("hot").select("band", F.col("a").alias("cid"), F.col("b").alias("lead"), "sketch", "n", "like")
     if hot.isEmpty():
         return verified(found, classes)
     # Bands of very many members: all against the first of their salt, the firsts against the first of the band;
     # then what is still unlinked against all members, so that no pair of the band goes unseen.
     firsts = hot.groupBy("band").agg(F.min("lead").alias("first"))
-    to_lead = hot.where("cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
+    to_lead = hot.where("like AND cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
     to_first = hot.select("band", "lead").distinct().join(firsts, "band").where("lead <> first").select(F.col("first").alias("a"), F.col("lead").alias("b"))
     near = common.written(verified(found.unionByName(to_lead).unionByName(to_first).distinct(), classes), "near")
     roots = components.min_label(near)
     grouped = hot.join(roots.withColumnRenamed("vertex", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(firsts, "band")
     lead_roots = grouped.where("cid = first").select("band", F.col("root").alias("lead_root")).distinct()
-    marked = common.written(grouped.join(lead_roots, "band").select("band", "cid", "sketch", "root", "lead_root"), "marked")
-    apart = marked.where("root <> lead_root").select("band", "cid", "sketch", "root")
-    everyone = marked.select("band", F.col("cid").alias("did"), F.col("sketch").alias("other_sketch"), F.col("root").alias("other"))
-    more = apart.join(everyone, "band").where("root <> other").where(_alike_columns("sketch", "other_sketch"))
+    marked = common.written(grouped.join(lead_roots, "band").select("band", "cid", "sketch", "n", "root", "lead_root"), "marked")
+    apart = marked.where("root <> lead_root").select("band", "cid", "sketch", "n", "root")
+    everyone = marked.select("band", F.col("cid").alias("did"), F.col("sketch").alias("other_sketch"), F.col("n").alias("m"), F.col("root").alias("other"))
+    more = apart.join(everyone, "band").where("root <> other").where(_alike_columns("sketch", "other_sketch", "m", "n"))
     more = common.written(more.select(F.least("cid", "did").alias("a"), F.greatest("cid", "did").alias("b")).distinct(), "more")
     if more.isEmpty():
         return near

@@ -121,3 +121,24 @@ def test_hot_bands_are_salted_and_complete(spark, monkeypatch):
     want = {k: find(k) for k in keys}
     assert sum(got[k] != want[k] for k in keys) <= 1  # banding may miss one lonely pair near the threshold
     assert len({v for k, v in got.items() if k < 1000}) == len({v for k, v in want.items() if k < 1000})
+
+
+def hot_text(insertions, seed):
+    """A text of forty words with rewrites that put new words between them (over a tenth of all rows), among unrelated texts."""
+    rng = random.Random(seed)
+    name = lambda head, k: head + "".join(chr(97 + int(d)) for d in str(k))
+    base = [name("b", k) for k in range(40)]
+    texts = [base]
+    for k in range(45):
+        words = list(base)
+        for j in range(rng.choice(insertions)):
+            words.insert(rng.randrange(len(words)), name("n", 100 * k + j))
+        texts.append(words)
+    texts += [[name("z", rng.randrange(5000)) for _ in range(25)] for _ in range(200)]
+    return [(k, " ".join(words)) for k, words in enumerate(texts)]
+
+
+def test_rewrites_of_a_hot_text_are_one_group(spark):
+    df = spark.createDataFrame(hot_text(range(6, 13), 4), "row_id long, text string")
+    got = {r.row_id: r.first_id for r in minhash.similar_groups(df).collect()}
+    assert got == {k: 0 if k < 46 else k for k in range(246)}
