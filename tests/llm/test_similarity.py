@@ -142,3 +142,13 @@ def test_rewrites_of_a_hot_text_are_one_group(spark):
     df = spark.createDataFrame(hot_text(range(6, 13), 4), "row_id long, text string")
     got = {r.row_id: r.first_id for r in minhash.similar_groups(df).collect()}
     assert got == {k: 0 if k < 46 else k for k in range(246)}
+
+
+def test_overlaps_of_a_hot_text_and_of_short_texts_equal_brute_force(spark):
+    rows = [(k, text, "test" if k % 3 == 0 else "train") for k, text in hot_text(range(6, 13), 6)]
+    short = ["red fan hums", "red fan softly hums", "red loud fan hums", "a red fan hums", "red fan hums now", "fan hums", "hums"]
+    rows += [(1000 + k, text, split) for k, text in enumerate(short) for split in ("test",)] + [(2000 + k, text, "train") for k, text in enumerate(short)]
+    df = spark.createDataFrame([(*r, "src") for r in rows], "row_id long, text string, split string, source string")
+    got = {(r.e_id, r.t_id) for r in segjoin.overlaps(df).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[2] == "test" and b[2] == "train" and near(a[1], b[1])}
+    assert got == want and len(want) > 40
