@@ -118,7 +118,7 @@ CATALOG = {
         "SELECT row_id, " + STRIP.format("regexp_extract(question, '(?s)^(.*?)(?:\\n[ \\t]*\\(?[A-D][.):][ \\t]|$)', 1)") + " AS x FROM train_sanity",
     ),
     "text_format_options": (q(events, "event_id", x=lambda: tx.format_options(F.array(C("event_type"), C("user_id").cast("string"), F.lit("x")))), "SELECT event_id, 'A. ' || event_type || chr(10) || 'B. ' || user_id || chr(10) || 'C. x' AS x FROM events"),
-    "text_caption_clean": (q(docs, "doc_id", x=lambda: tx.caption_clean(F.when(~C("text").rlike("[\\p{C}\\p{Z}&&[^ \n\t]]"), C("text")))), None),
+    "text_caption_clean": (q(docs, "doc_id", x=lambda: tx.caption_clean(C("text"))), None),
     "text_squeeze": (q(amc, "row_id", x=lambda: tx.squeeze(F.regexp_replace("prompt", "[^ -~]", ""))), f"SELECT row_id, regexp_replace(lower({STRIP.format('regexp_replace(prompt, ' + lit_sql('[^ -~]') + ', ' + lit_sql('') + ', ' + lit_sql('g') + ')')}), '\\s+', ' ', 'g') AS x FROM amc_ttt"),
     "text_word_tokens": (q(sanity, "row_id", x=lambda: F.array_join(tx.word_tokens(C("answer")), " ")), f"SELECT row_id, array_to_string({WORDS.format('answer')}, ' ') AS x FROM sanity"),
     "text_content_words": (q(sanity, "row_id", x=lambda: F.array_join(tx.content_words(tx.word_tokens(C("answer"))), " ")), f"SELECT row_id, array_to_string(list_filter({WORDS.format('answer')}, lambda w: length(w) >= 3 AND NOT list_contains({STOP}, w)), ' ') AS x FROM sanity"),

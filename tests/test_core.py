@@ -245,3 +245,13 @@ def test_entry_point():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and math.isfinite(len(entry.queries()))
+
+
+def test_caption_clean_query_keeps_texts_with_odd_characters(spark, tmp_path):
+    from rolloutlake.plans import registry
+
+    texts = ["a fan", "a\u00a0fan\u200b hums", "bell\x07 rings\u2028twice", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.x for r in registry.QUERIES["text_caption_clean"](spark, str(tmp_path)).collect()}
+    assert [got[k] is None for k in range(4)] == [False, False, False, True]
+    assert "hums" in got[1] and "rings" in got[2] and "twice" in got[2]
