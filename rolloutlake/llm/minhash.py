@@ -218,22 +218,19 @@ def _alike_columns(a: str, b: str, m: str, n: str):
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within the similarity; word sets (32-bit codes) are fetched for candidates only.
-
-    Two different words of a pair share a code with a chance of 2e-7, and it matters only one word from the threshold.
-    """
-    sets = classes.select("cid", "codes")
-    one = pairs.join(sets.withColumnsRenamed({"cid": "a", "codes": "wa"}), "a")
-    two = one.join(sets.withColumnsRenamed({"cid": "b", "codes": "wb"}), "b")
+    """Pairs within the exact similarity; word sets (64-bit hashes) are fetched for candidates only."""
+    sets = classes.select("cid", "words")
+    one = pairs.join(sets.withColumnsRenamed({"cid": "a", "words": "wa"}), "a")
+    two = one.join(sets.withColumnsRenamed({"cid": "b", "words": "wb"}), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     return two.where(shared >= F.lit(SIMILARITY) * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b")
 
 
 def links(classes: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes that connect all that is to be connected."""
-    sets = classes.where(F.size("codes") > 0).select("cid", F.xxhash64("numbers").alias("nh"), "codes")
+    sets = classes.where(F.size("words") > 0).select("cid", "nh", "words")
     crowded = common.written(sets.groupBy("nh").count().where(F.col("count") > HOT).select("nh"), "crowded")
-    signed, lone = sets.join(crowded, "nh", "left_semi").select("cid", "nh", "codes"), sets.join(crowded, "nh", "left_anti").select("cid", "nh", "codes")
+    signed, lone = sets.join(crowded, "nh", "left_semi").select("cid", "nh", "words"), sets.join(crowded, "nh", "left_anti").select("cid", "nh", "words")
     # At most BANDS / HEAVY bands can hold that share of all sets.
     many = heavy_bands(signed).where(F.col("n") >= HEAVY * classes.count())
     heavy = {r.band: r.n // SALT_ROWS + 1 for r in many.collect()}
@@ -264,13 +261,12 @@ def links(classes: DataFrame) -> DataFrame:
 
 def similar_groups(rows: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(row_id, first_id) of every non-blank record: the smallest id of its group."""
-    keyed = wordsets.word_rows(rows.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")), "text").drop("text")
-    keyed = keyed.withColumn("codes", F.transform("words", lambda w: F.hash(w))).drop("words")
+    keyed = wordsets.word_rows(rows.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")), "text")
     keyed = common.written(keyed, "wordrows")
     heads = keyed.groupBy("k1", "k2").agg(F.min("row_id").alias("cid"))
     members = keyed.select("row_id", "k1", "k2").join(heads, ["k1", "k2"]).select("row_id", "cid")
     members = common.written(members, "members")
-    classes = keyed.join(members.where("row_id = cid").select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("cid"), "codes", "numbers")
+    classes = keyed.join(members.where("row_id = cid").select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("cid"), "nh", "words")
     classes = common.written(classes, "classes")
     roots = components.min_label(links(classes))
     return members.join(roots.withColumnsRenamed({"vertex": "cid"}), "cid", "left").select("row_id", F.coalesce("root", "cid").alias("first_id"))

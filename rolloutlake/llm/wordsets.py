@@ -1,36 +1,74 @@
 """Distinct word sets of records, shared by the similarity operators of problems 3 and 5.
 
-Records whose numbers and whose word set are equal form a class; similarity is worked out between classes and spread
-to their records afterwards, so copies never meet each other pair by pair.
+A word is kept as its 64-bit hash. Records whose numbers and whose word set are equal form a class; similarity is
+worked out between classes and spread to their records afterwards, so copies never meet each other pair by pair.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A word is a longest run of letters or digits; texts of plain ASCII take the cheaper of the two patterns.
+_ASCII_WORD = re.compile(r"[a-z0-9]+").findall
+_WORD = regex.compile(r"[\p{L}\p{Nd}]+").findall
+_NUMBER = re.compile(r"[0-9]+").findall
+_VISIBLE = regex.compile(r"[^\p{Z}\p{C}\s]").search
+
+#: Words remembered per batch; the memory is emptied when full, which changes no result.
+_REMEMBERED = 200_000
+
 
-from rolloutlake.llm import common
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+        return code
 
-#: A word in more than this share of all classes tells records apart too little to look them up by.
-FREQUENT = 0.05
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words of a text in order."""
+    low = text.lower()
+    return _ASCII_WORD(low) if low.isascii() else _WORD(low)
 
 
 def word_rows(rows: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``words`` (sorted distinct), ``numbers`` and the class key (k1, k2); drops null, blank and wordless texts' words.
+    """Other columns of ``rows`` with ``nh`` (hash of the numbers), ``words`` (sorted distinct word hashes) and the class key (k1, k2).
 
-    A text without any word is its own class with its equals (the key is then made of the text itself).
+    Null and blank texts are dropped. A text without any word is a class with its equals (the key is then made of the
+    text itself).
     """
-    kept = rows.where(common.not_blank(F.col(text_col)))
-    kept = kept.withColumn("words", F.array_sort(F.array_distinct(common.words(F.col(text_col))))).withColumn("numbers", common.numbers_key(F.col(text_col)))
-    body = F.when(F.size("words") > 0, F.array_join("words", " ")).otherwise(F.concat(F.lit("\u0001"), F.trim(text_col)))
-    whole = F.concat_ws("\u0002", "numbers", body)
-    return kept.withColumn("k1", F.xxhash64(whole)).withColumn("k2", F.xxhash64(whole, F.lit(1)))
-
-
-def frequent_words(classes: DataFrame, share: float = FREQUENT) -> list[str]:
-    """Words of more than ``share`` of the classes: at most (mean set size / share) of them, whatever the input."""
-    total = classes.count()
-    if not total:
-        return []
-    counts = classes.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > share * total)
-    return [r.w for r in counts.select("w").collect()]
+    others = [f for f in rows.schema.fields if f.name != text_col]
+    added = [T.StructField("nh", T.LongType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]
+    names = [f.name for f in (*others, *added)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _Hashes().__getitem__
+        for batch in batches:
+            keep, numbers, sets, keys = [], [], [], []
+            for k, text in enumerate(batch.column(len(others)).to_pylist()):
+                words = words_of(text) if text else ()
+                if not words and not (text and _VISIBLE(text)):
+                    continue
+                own = np.unique(np.fromiter(map(code, words), np.int64, len(words)))
+                told = " ".join(sorted(_NUMBER(text))).encode()
+                keep.append(k)
+                numbers.append(xxhash.xxh64_intdigest(told) - (1 << 63))
+                sets.append(own)
+                keys.append(xxhash.xxh3_128_digest(told + b"\x02" + (own.tobytes() if len(own) else b"\x01" + text.strip(" ").encode("utf-8", "surrogatepass"))))
+            kept = batch.take(pa.array(keep, pa.int64()))
+            offsets = np.zeros(len(sets) + 1, np.int32)
+            np.cumsum([len(s) for s in sets], out=offsets[1:])
+            both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(others)], pa.array(np.array(numbers, np.int64)), lists, pa.array(both[:, 0]), pa.array(both[:, 1])], names=names)
+
+    return rows.select(*[f.name for f in others], text_col).mapInArrow(run, T.StructType([*others, *added]))
