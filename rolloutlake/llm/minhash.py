@@ -31,6 +31,8 @@ from rolloutlake.llm import common, components, wordsets
 BANDS, ROWS = 50, 6
 #: Sets that are signed at once.
 SIGNED = 1024
+#: Sets whose signatures are worked out side by side.
+PIECE = 128
 PLACES = 1 << 20
 SIMILARITY = 0.7
 #: Largest band that is compared pairwise, and rows per salt of a heavier one.
@@ -51,9 +53,26 @@ def _pi(seed: int = 11) -> np.ndarray:
 
 
 def signatures(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Signatures of sets: ``places`` are sigma's places of all words, ``offsets`` the start of each (non-empty) set."""
-    stretches = np.lib.stride_tricks.sliding_window_view(_pi(), BANDS * ROWS)[places]
-    return np.minimum.reduceat(stretches, offsets, axis=0)
+    """Signatures of sets: ``places`` are sigma's places of all words, ``offsets`` the start of each (non-empty) set.
+
+    All sets of a piece take in their next word at once, largest sets first, so that the running minimum stays in the
+    processor's cache.
+    """
+    stretches = np.lib.stride_tricks.sliding_window_view(_pi(), BANDS * ROWS)
+    sizes = np.diff(np.append(offsets, len(places)))
+    order = np.argsort(-sizes, kind="stable")
+    out = np.empty((len(offsets), BANDS * ROWS), np.uint32)
+    for at in range(0, len(order), PIECE):
+        rows = order[at : at + PIECE]
+        first, n = offsets[rows], sizes[rows]
+        least = stretches[places[first]]
+        active = len(rows)
+        for k in range(1, int(n[0])):
+            while n[active - 1] <= k:
+                active -= 1
+            np.minimum(least[:active], stretches[places[first[:active] + k]], out=least[:active])
+        out[rows] = least
+    return out
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
