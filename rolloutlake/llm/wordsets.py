@@ -7,6 +7,7 @@ worked out between classes and spread to their records afterwards, so copies nev
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,23 +53,23 @@ def word_rows(rows: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _Hashes().__getitem__
+        digest, number = xxhash.xxh3_128_digest, xxhash.xxh64_intdigest
         for batch in batches:
-            keep, numbers, sets, keys = [], [], [], []
+            keep, numbers, keys, flat, offsets = [], [], [], [], [0]
             for k, text in enumerate(batch.column(len(others)).to_pylist()):
                 words = words_of(text) if text else ()
                 if not words and not (text and _VISIBLE(text)):
                     continue
-                own = np.unique(np.fromiter(map(code, words), np.int64, len(words)))
                 told = " ".join(sorted(_NUMBER(text))).encode()
+                own = sorted(set(map(code, words)))
+                flat += own
                 keep.append(k)
-                numbers.append(xxhash.xxh64_intdigest(told) - (1 << 63))
-                sets.append(own)
-                keys.append(xxhash.xxh3_128_digest(told + b"\x02" + (own.tobytes() if len(own) else b"\x01" + text.strip(" ").encode("utf-8", "surrogatepass"))))
+                offsets.append(len(flat))
+                numbers.append(number(told) - (1 << 63))
+                keys.append(digest(told + b"\x02" + (array("q", own).tobytes() if own else b"\x01" + text.strip(" ").encode("utf-8", "surrogatepass"))))
             kept = batch.take(pa.array(keep, pa.int64()))
-            offsets = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(s) for s in sets], out=offsets[1:])
             both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.array(flat, np.int64)))
             yield pa.RecordBatch.from_arrays([*kept.columns[: len(others)], pa.array(np.array(numbers, np.int64)), lists, pa.array(both[:, 0]), pa.array(both[:, 1])], names=names)
 
     return rows.select(*[f.name for f in others], text_col).mapInArrow(run, T.StructType([*others, *added]))
