@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 
 from rolloutlake.llm import replies as r
@@ -10,7 +9,15 @@ PROMPT = "Which object made the rapid hiss heard at 61:01 - 61:29, the folded ma
 def model():
     texts = [f"It came from the {n}, which moved the {a} edge while the wearer was lifting." for n in ("bell", "fan", "jar", "cup") for a in ("steel", "clay", "wet", "tin", "dry")] * 30
     texts += ["A wet fan.", "One", "On the jar to the right."] * 30
-    return r.EndModel(*r.count_contexts(texts))
+    counts = r.count_contexts(texts)
+
+    def label(prompt, reply):
+        kind = r.defect(prompt, reply, False, frozenset())
+        if kind != "?":
+            return kind
+        return "truncated" if r.ends_broken([tuple(counts.get(c, (0, 0))) for c in r.last_contexts(reply)]) else None
+
+    return label
 
 
 @pytest.mark.parametrize(
@@ -34,15 +41,29 @@ def model():
         (PROMPT, "It came from the bell, which moved the clay edge", "truncated"),
         (PROMPT, "It came from the bell, which moved the clay edge while the wearer was lifting", None),
         (PROMPT, "On the jar to the right. It came and then…", "truncated"),
+        (PROMPT, "It came from the bell, which moved the clay ed", "truncated"),
+        ("这段录音里的声音是从哪里来的？", "这段录音里的声音 是从哪里来的", "copied"),
+        ("这段录音里，第二次敲击的声音是从哪里来的，是从门后还是窗边？", "第二次敲击的声音是从哪里来的，这段录音里，是从门后还是窗边？", "copied"),
+        ("Why?", "why", "copied"),
+        ("Which fan hums?", "The slate one.", None),
         (None, "It came from the bell, which moved the clay edge while the wearer was lifting.", None),
         ("", None, "empty"),
     ],
 )
 def test_kinds(model, prompt, reply, kind):
-    assert r.defect(prompt, reply, False, model) == kind
+    assert model(prompt, reply) == kind
+
 
+def test_zstandard_alone_decides_on_copies(monkeypatch):
+    told = "the folded marble or the slate fan left in the harbour, which object made the rapid hiss heard at 61:01 - 61:29"
+    assert r.copies_prompt(PROMPT, told)
+    monkeypatch.setattr(r, "_ratio", lambda text, dictionary: 1.0)
+    assert not r.copies_prompt(PROMPT, told)
 
-def test_worked_solutions(model):
+
+def test_worked_solutions():
+    sound = ["There are $12$ items. Taking away $2$ leaves $\\boxed{10}$.", "Taking away $2$ leaves $10$. So it is $\\boxed{10}$"] * 40
+    model = r.rare_ends(r.count_worked([*sound, "There are $12$ items. Taking", "Taking away $2$ leaves $10$."]))
     task = "There are $3$ shelves with $4$ items each, and $2$ are handed out to the guests in the yard. How many items are left on them?"
     assert r.defect(task, "There are $12$ items. Taking away $2$ leaves $\\boxed{10}$", True, model) is None
     assert r.defect(task, "There are $12$ items. Taking away $2$ leaves $\\boxed{", True, model) == "truncated"
@@ -56,4 +77,13 @@ def test_frame(spark):
     df = spark.createDataFrame([(*x, "x") for x in rows], "row_id long, prompt string, reply string, worked boolean, defect string")
     assert {tuple(x) for x in r.label_replies(df).collect()} == {(1, "empty"), (3, "empty")}
     assert r.label_replies(df.limit(0)).collect() == []
-    assert isinstance(r.fit_end_model(df).on, np.ndarray)
+
+
+def test_open_ends_are_looked_up_in_all_replies(spark, monkeypatch):
+    texts = [f"It came from the {n}, which moved the {a} edge while the wearer was lifting." for n in ("bell", "fan", "jar", "cup") for a in ("steel", "clay", "wet", "tin", "dry")] * 30 + ["A wet fan."] * 20
+    cut = ["It came from the bell, which moved the clay edge", "It came from the fan, which moved the st", "A wet fan"]
+    df = spark.createDataFrame([(k, PROMPT, t, False) for k, t in enumerate(texts + cut)], "row_id long, prompt string, reply string, worked boolean").repartition(3)
+    want = {(len(texts), "truncated"), (len(texts) + 1, "truncated")}
+    assert {tuple(x) for x in r.label_replies(df).collect()} == want
+    monkeypatch.setattr(r, "SENT", 0)
+    assert {tuple(x) for x in r.label_replies(df).collect()} == want
