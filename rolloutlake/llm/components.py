@@ -1,21 +1,22 @@
 """Connected components by random-mate contraction, in SQL joins over the shared folder.
 
 Every round each vertex draws a coin by a hash of (round, vertex). A tail with a head neighbour collapses into the
-smallest such neighbour; edges are renamed, loops and repeats vanish. Rounds go on until no edge is left. The
+smallest such neighbour, and so does a leaf whose neighbour is a head; edges are renamed, loops and repeats vanish. Rounds go on until no edge is left. The
 collapses of the rounds are then unwound, last round first, into one label per vertex. Expected rounds grow with
 the logarithm of the number of vertices; nothing is collected but counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloutlake.llm import common
 
 
-def _coin(column: str, round_: int):
-    return F.pmod(F.xxhash64(F.lit(round_), F.col(column)), F.lit(2)) == 1
+def _head(column: str, round_: int) -> Column:
+    """Heads: seven of eight vertices in even rounds, in which hubs draw in what hangs on them, half of them in odd ones."""
+    return F.pmod(F.xxhash64(F.lit(round_), F.col(column)), F.lit(8)) < (4 if round_ % 2 else 7)
 
 
 def random_mate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -28,22 +29,24 @@ def random_mate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         lo, hi = F.least("a", "b"), F.greatest("a", "b")
         return e.where("a <> b").select(lo.alias("a"), hi.alias("b")).distinct()
 
-    now = common.written(clean(edges.where("a IS NOT NULL AND b IS NOT NULL")), "edges")
+    told = now = common.written(clean(edges.where("a IS NOT NULL AND b IS NOT NULL")), "edges")
     rounds: list[DataFrame] = []
     while not now.isEmpty():
         if len(rounds) >= max_rounds:
             raise RuntimeError("contraction did not end")
         k = len(rounds)
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        collapse = both.where(~_coin("a", k) & _coin("b", k)).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("mate"))
-        collapse = common.written(collapse, "mates")
+        near = both.groupBy("a").agg(F.min(F.when(_head("b", k), F.col("b"))).alias("mate"), F.count("*").alias("degree"))
+        # Besides tails, a vertex with one neighbour collapses into it if that is a head and the smaller one; nothing but
+        # its neighbour could collapse into it, so no mate collapses in the round in which it is one.
+        falls = ~_head("a", k) | ((F.col("degree") == 1) & (F.col("mate") < F.col("a")))
+        collapse = common.written(near.where(F.col("mate").isNotNull() & falls).select(F.col("a").alias("vertex"), "mate"), "mates")
         rounds.append(collapse)
         left = now.join(collapse.withColumnsRenamed({"vertex": "a", "mate": "ma"}), "a", "left").select(F.coalesce("ma", "a").alias("a"), "b")
         right = left.join(collapse.withColumnsRenamed({"vertex": "b", "mate": "mb"}), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
         now = common.written(clean(right), "edges")
     # Unwind: in the last round mates are roots; in the rounds before, a mate's root is looked up.
-    vertices = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    names = vertices.select(F.col("a").alias("vertex")).unionByName(vertices.select(F.col("b").alias("vertex"))).distinct()
+    names = told.select(F.col("a").alias("vertex")).unionByName(told.select(F.col("b").alias("vertex"))).distinct()
     if not rounds:
         return names.select("vertex", F.col("vertex").alias("root"))
     labels = rounds[-1].select("vertex", F.col("mate").alias("root"))
@@ -80,4 +83,6 @@ def min_label(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError("labels did not settle")
     return names.join(now.withColumnsRenamed({"a": "vertex", "b": "root"}), "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"))

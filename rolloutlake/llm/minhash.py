@@ -245,8 +245,8 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return two.where(shared >= F.lit(SIMILARITY) * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b")
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Verified links (a, b) between classes that connect all that is to be connected."""
+def linked(classes: DataFrame) -> DataFrame:
+    """(vertex, root) of every class with a verified link: the smallest class it is linked with, also through others."""
     sets = classes.where(F.size("words") > 0).select("cid", "nh", "words")
     crowded = common.written(sets.groupBy("nh").count().where(F.col("count") > HOT).select("nh"), "crowded")
     signed, lone = sets.join(crowded, "nh", "left_semi").select("cid", "nh", "words"), sets.join(crowded, "nh", "left_anti").select("cid", "nh", "words")
@@ -258,14 +258,14 @@ def links(classes: DataFrame) -> DataFrame:
     found = read.where("NOT hot").select("a", "b").distinct()
     hot = read.where("hot").select("band", F.col("a").alias("cid"), F.col("b").alias("lead"), "sketch", "n", "like")
     if hot.isEmpty():
-        return verified(found, classes)
+        return components.min_label(verified(found, classes))
     # Bands of very many members: all against the first of their salt, the firsts against the first of the band;
     # then what is still unlinked against all members, so that no pair of the band goes unseen.
     firsts = hot.groupBy("band").agg(F.min("lead").alias("first"))
     to_lead = hot.where("like AND cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
     to_first = hot.select("band", "lead").distinct().join(firsts, "band").where("lead <> first").select(F.col("first").alias("a"), F.col("lead").alias("b"))
     near = common.written(verified(found.unionByName(to_lead).unionByName(to_first).distinct(), classes), "near")
-    roots = components.min_label(near)
+    roots = common.written(components.min_label(near), "roots")
     grouped = hot.join(roots.withColumnRenamed("vertex", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(firsts, "band")
     lead_roots = grouped.where("cid = first").select("band", F.col("root").alias("lead_root")).distinct()
     marked = common.written(grouped.join(lead_roots, "band").select("band", "cid", "sketch", "n", "root", "lead_root"), "marked")
@@ -274,8 +274,15 @@ def links(classes: DataFrame) -> DataFrame:
     more = apart.join(everyone, "band").where("root <> other").where(_alike_columns("sketch", "other_sketch", "m", "n"))
     more = common.written(more.select(F.least("cid", "did").alias("a"), F.greatest("cid", "did").alias("b")).distinct(), "more")
     if more.isEmpty():
-        return near
-    return near.unionByName(verified(more, classes))
+        return roots
+    # The groups so far are linked as wholes.
+    own = roots.select(F.col("vertex").alias("v"), F.col("root").alias("r"))
+    extra = verified(more, classes)
+    for side in ("a", "b"):
+        extra = extra.join(own, F.col(side) == F.col("v"), "left").withColumn(side, F.coalesce("r", side)).drop("v", "r")
+    top = common.written(components.min_label(extra), "top")
+    over = roots.join(top.select(F.col("root").alias("r"), F.col("vertex").alias("root")), "root", "left").select("vertex", F.coalesce("r", "root").alias("root"))
+    return over.unionByName(top.join(roots, "vertex", "left_anti").select("vertex", "root"))
 
 
 def similar_groups(rows: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
@@ -287,7 +294,7 @@ def similar_groups(rows: DataFrame, id_col: str = "row_id", text_col: str = "tex
     members = common.written(members, "members")
     classes = keyed.join(members.where("row_id = cid").select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("cid"), "nh", "words")
     classes = common.written(classes, "classes")
-    roots = components.min_label(links(classes))
+    roots = linked(classes)
     return members.join(roots.withColumnsRenamed({"vertex": "cid"}), "cid", "left").select("row_id", F.coalesce("root", "cid").alias("first_id"))
 
 
