@@ -1,10 +1,14 @@
 """Problem 2: train, validation and test labels that keep every video in one split.
 
-The spellings of a row's fields are read into bare video names. Names that stand in one row are linked, the links
-contracted by random mate (see components), and the components, with the number of their rows as weight, are cut
-into splits by cumulative weight.
-
-Null, blank or unreadable spellings give no name. A row without any name is its own group and gets ``video`` null.
+The spellings of a row's fields and the bare video names that they can be read as are the vertices of a graph. A
+spelling is linked to its reading, or where it cannot be read to the best reading of its row; the readings of one row
+are linked to each other. The links are contracted by random mate (see components), and a component's reading is the
+video of all its rows, so that a row without any readable field gets it from rows that spell a field alike. The
+components, with the number of their rows as weight, are cut into splits by cumulative weight.
+
+An unreadable spelling that stands beside several names (a common file name) is no evidence and links nothing. Where
+names of one component differ, its rows keep their own best reading but stay one group. Null and blank spellings give
+nothing. A row that no link gives a name is its own group and gets ``video`` null.
 Repeated rows count as rows. An empty table gives an empty result.
 """
 
@@ -58,37 +62,62 @@ def clip_of_record(record_id: Column) -> Column:
     return F.when(found != "", found)
 
 
+def _readings(table: str, **fields: tuple[Column, Column]) -> Column:
+    """Spellings of a row's fields that are not blank, as vertices, each with its reading (or null), best field first."""
+    vertex = lambda field, spelling: F.when(F.trim(spelling) != "", F.concat(F.lit(f"{table}/{field}:"), F.trim(spelling)))
+    told = [F.struct(vertex(field, spelling).alias("spelling"), name.alias("name")) for field, (spelling, name) in fields.items()]
+    return F.filter(F.array(*told), lambda x: x["spelling"].isNotNull()).alias("readings")
+
+
 def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, source_table, names): the video names that a row's fields give, best field first."""
+    """(row_id, source_table, readings): the spellings of a row's fields and the video names they are read as."""
+    c = F.col
     train = common.table(spark, sf_dir, "train_sanity").select(
         "row_id", F.lit("train_sanity").alias("source_table"),
-        F.array(video_of_id(F.col("video_id")), video_of_path(F.col("video_file")), video_of_record(F.col("id")), video_of_path(F.regexp_replace("audio_file", "_audio(?=\\.)", ""))).alias("names"),
+        _readings("train_sanity", video_id=(c("video_id"), video_of_id(c("video_id"))), video_file=(c("video_file"), video_of_path(c("video_file"))), id=(c("id"), video_of_record(c("id"))), audio_file=(c("audio_file"), video_of_path(F.regexp_replace("audio_file", "_audio(?=\\.)", "")))),
     )
     clips = common.table(spark, sf_dir, "sanity").select(
         "row_id", F.lit("sanity").alias("source_table"),
-        F.array(clip_of_path(F.col("video_file")), clip_of_path(F.col("audio_file")), clip_of_record(F.col("id")), F.lit(None).cast("string")).alias("names"),
+        _readings("sanity", video_file=(c("video_file"), clip_of_path(c("video_file"))), audio_file=(c("audio_file"), clip_of_path(c("audio_file"))), id=(c("id"), clip_of_record(c("id")))),
     )
-    both = train.unionByName(clips)
-    return both.select("row_id", "source_table", F.filter("names", lambda x: x.isNotNull()).alias("names"))
+    return train.unionByName(clips)
+
+
+def links(named: DataFrame) -> DataFrame:
+    """(a, b): spellings with their readings, readings of one row with each other; each link once."""
+    vertex = lambda name: F.concat(F.col("source_table"), F.lit("//"), name)
+    names = F.filter(F.transform("readings", lambda x: x["name"]), lambda x: x.isNotNull())
+    # Rows that spell all their fields alike are one.
+    tuples = named.select("source_table", "readings").distinct().withColumn("best", F.try_element_at(names, F.lit(1))).withColumn("names", F.array_distinct(names))
+    tuples = common.written(tuples, "spellings")
+    each = tuples.select("source_table", "best", F.explode("readings").alias("r")).select("source_table", "best", "r.spelling", "r.name")
+    read = each.where("name IS NOT NULL").select(F.col("spelling").alias("a"), vertex(F.col("name")).alias("b"))
+    unread = each.where("name IS NULL AND best IS NOT NULL").groupBy("spelling").agg(F.min(vertex(F.col("best"))).alias("b"), F.max(vertex(F.col("best"))).alias("other"))
+    beside = unread.where("b = other").select(F.col("spelling").alias("a"), "b")
+    nameless = tuples.where("best IS NULL AND size(readings) > 1").select(F.get("readings", 0)["spelling"].alias("a"), F.explode(F.slice("readings", 2, 8)).alias("r")).select("a", F.col("r.spelling").alias("b"))
+    conflicts = tuples.where("size(names) > 1").select(vertex(F.col("best")).alias("a"), F.explode(F.slice("names", 2, 8)).alias("n"), "source_table").select("a", vertex(F.col("n")).alias("b"))
+    common_names = unread.where("b <> other").select("spelling")
+    for side in ("a", "b"):
+        nameless = nameless.join(common_names.withColumnRenamed("spelling", side), side, "left_anti").select("a", "b")
+    return common.union_all((read, beside, nameless, conflicts)).distinct()
 
 
 def grouped_rows(named: DataFrame) -> DataFrame:
-    """(row_id, source_table, video, grp): rows with their own best name and the root of their component.
+    """(row_id, source_table, video, grp): rows with the video of their component and its root.
 
-    Rows are summed up by their list of names before anything is linked, so a video with a third of all rows is
-    one vertex with a weight.
+    Rows are summed up by their spellings before anything is linked, so a video with a third of all rows is a few
+    vertices with a weight.
     """
-    vertex = F.transform("names", lambda n: F.concat(F.col("source_table"), F.lit(":"), n))
-    keyed = named.select("row_id", "source_table", F.try_element_at("names", F.lit(1)).alias("video"), vertex.alias("vs"))
-    many = keyed.where(F.size(F.array_distinct("vs")) > 1).select(F.array_distinct("vs").alias("vs")).distinct()
-    edges = many.select(F.col("vs")[0].alias("a"), F.explode(F.slice("vs", 2, 8)).alias("b"))
-    edges = common.written(edges, "spellings")
-    first = F.coalesce(F.try_element_at("vs", F.lit(1)), F.concat(F.lit("row:"), F.col("row_id").cast("string")))
-    rows = keyed.select("row_id", "source_table", "video", first.alias("vertex"))
-    if edges.isEmpty():
-        return rows.withColumnRenamed("vertex", "grp")
-    roots = components.random_mate(edges)
-    return rows.join(roots, "vertex", "left").select("row_id", "source_table", "video", F.coalesce("root", "vertex").alias("grp"))
+    is_name = lambda vertex: vertex.rlike("^[^/]+//")
+    roots = components.random_mate(links(named))
+    name = F.when(is_name(F.col("vertex")), F.regexp_replace("vertex", "^[^/]+//", ""))
+    labels = roots.withColumn("name", name).where("name IS NOT NULL").groupBy("root").agg(F.min("name").alias("label"), F.max("name").alias("other"))
+    named_roots = roots.join(labels, "root", "left").select("vertex", "root", F.when(F.col("label") == F.col("other"), F.col("label")).alias("label"))
+    best = F.try_element_at(F.filter("readings", lambda x: x["name"].isNotNull()), F.lit(1))
+    start = F.coalesce(best["spelling"], F.try_element_at("readings", F.lit(1))["spelling"])
+    rows = named.select("row_id", "source_table", best["name"].alias("own"), start.alias("vertex"))
+    alone = F.concat(F.lit("row:"), F.col("row_id").cast("string"))
+    return rows.join(named_roots, "vertex", "left").select("row_id", "source_table", F.coalesce("label", "own").alias("video"), F.coalesce("root", alone).alias("grp"))
 
 
 def cut_by_weight(weights: DataFrame, proportions=PROPORTIONS) -> DataFrame:
@@ -122,7 +151,7 @@ def cut_by_weight(weights: DataFrame, proportions=PROPORTIONS) -> DataFrame:
     for name, _ in proportions[:-1]:
         at += left[name] / room * rest
         label = F.when(middle <= at, name) if label is None else label.when(middle <= at, name)
-    others = small.join(F.broadcast(before), "range").select("grp", label.otherwise(proportions[-1][0]).alias("split"))
+    others = small.join(before, "range").select("grp", label.otherwise(proportions[-1][0]).alias("split"))
     return others.unionByName(fixed)
 
 
@@ -137,7 +166,7 @@ def assign_splits(rows: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bare video of every row; names of one component that differ only by mistake keep the row's own best name."""
+    """Bare video of every row."""
     return grouped_rows(named_rows(spark, sf_dir)).select("row_id", "video")
 
 
