@@ -43,19 +43,21 @@ def observed(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.select("field_name", "category", "key", F.coalesce("n", F.lit(0)).alias("have"), F.greatest(F.col("min_rows").cast("long"), share).alias("wanted"))
 
 
-def deficits(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    return observed(rows, targets).where("have < wanted").select("field_name", "category", "have", "wanted")
+def draw(rows: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """(field_name, category, row_id) of the sample."""
+    return drawn(rows, common.written(observed(rows, targets), "plan"), seed)
 
 
-def draw(rows: DataFrame, targets: DataFrame, seed: int = 17, margin: float = 4.0) -> DataFrame:
-    """(field_name, category, row_id) of the sample; ``margin`` is in standard deviations of the accepted number."""
-    plan = observed(rows, targets).where("have > 0").withColumn("take", F.least("have", "wanted"))
+def drawn(rows: DataFrame, plan: DataFrame, seed: int = 17, margin: float = 4.0) -> DataFrame:
+    """The sample of a plan (see observed); ``margin`` is in standard deviations of the accepted number."""
+    told = plan
+    plan = plan.where("have > 0").withColumn("take", F.least("have", "wanted"))
     whole = 1 << BITS
     ratio = (F.col("take") + F.lit(margin) * F.sqrt(F.col("take").cast("double")) + 1) / F.col("have")
     plan = plan.withColumn("limit", F.when(F.col("have") <= F.col("wanted"), F.lit(whole)).otherwise(F.least(F.lit(whole), F.ceil(ratio * F.lit(float(whole))).cast("long"))))
     plan = common.written(plan, "quotas")
     hashed = rows.select("field_name", category_key(F.col("category")).alias("key"), "row_id", unit_hash(F.lit(seed), F.col("row_id")).alias("u"))
-    joined = hashed.join(F.broadcast(plan), ["field_name", "key"])
+    joined = hashed.join(plan, ["field_name", "key"])
     accepted = joined.where("u < limit").select("field_name", "category", "row_id", "u", "take", "limit")
     bin_ = F.least(F.floor(F.col("u") / F.col("limit") * BINS), F.lit(BINS - 1)).cast("int")
     accepted = accepted.withColumn("bin", bin_)
@@ -63,16 +65,24 @@ def draw(rows: DataFrame, targets: DataFrame, seed: int = 17, margin: float = 4.
     short = counts.groupBy("field_name", "category", "take").agg(F.sum("k").alias("k")).where("k < take")
     if not short.isEmpty():
         # The margin was not enough for some category (or none of its rows was accepted): draw with a wider one.
-        return draw(rows, targets, seed, margin * 4)
+        return drawn(rows, told, seed, margin * 4)
     along = Window.partitionBy("field_name", "category").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.withColumn("before", F.coalesce(F.sum("k").over(along), F.lit(0))).where("before < take")
-    kept = accepted.drop("take").join(F.broadcast(bins), ["field_name", "category", "bin"])
+    kept = accepted.drop("take").join(bins, ["field_name", "category", "bin"])
     sure = kept.where("before + k <= take").select("field_name", "category", "row_id")
     edge = kept.where("before + k > take")
     rank = F.row_number().over(Window.partitionBy("field_name", "category").orderBy("u", "row_id"))
     return sure.unionByName(edge.withColumn("r", rank).where("r <= take - before").select("field_name", "category", "row_id"))
 
 
+def deficits(rows: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """(field_name, category, have, wanted) of the targets that the corrected sample does not meet."""
+    plan = common.written(observed(rows, targets), "plan")
+    got = drawn(rows, plan, seed).groupBy("field_name", "category").agg(F.count("*").alias("got"))
+    met = plan.join(got, ["field_name", "category"], "left").select("field_name", "category", F.coalesce("got", F.lit(0)).alias("have"), "wanted")
+    return met.where("have < wanted")
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = (("train_sanity", ("content_parent_category", "question_type")), ("sanity", ("question_type",)))
     parts = []
