@@ -1,11 +1,16 @@
 """Problem 8: the whole corpus as ids of a public byte-level BPE vocabulary.
 
-The merges are compiled into a deterministic automaton over token labels. Its state is the last label read;
-the arc from state ``l`` with label ``r`` exists unless the gadget of some merge straddles the boundary between
-``l`` and ``r`` before both are complete. A byte string then has exactly one accepted path, which is its BPE
-encoding, so a word is encoded by one left-to-right run over table-driven arcs, and decoded by emitting the
-labels of the arcs. Arcs are worked out when first met and kept: the full table over 50,000 labels would hold
-2.5 billion cells, nearly all never visited.
+The merges are compiled into a deterministic automaton over token labels, one merge gadget after the other in the order
+of their ranks. All arcs of one label lead to one state, so a state is named by the label read last. The gadget of a
+merge ``u v`` does three things to the automaton so far: the state after ``u`` loses its arc ``v`` (from then on ``v``,
+and every label that is made of ``v`` later, cannot follow ``u``), every state with an arc ``u`` gains an arc ``uv``, and
+that arc leads to a copy of the state after ``v`` as it is at that moment. What the automaton built so far makes of a
+token's bytes tells the two labels that its merge joins.
+
+The arcs of a state are thus all labels but those it lost, and the losses are the table: one sparse row a state, with
+the rank at which each label was lost, put together from the gadgets when the state is first reached. A byte string has
+exactly one accepted path, its BPE encoding, which is found by one left-to-right run over the table, and decoded by
+emitting the labels of the arcs.
 
 Nulls and empty texts give an empty list. Texts of any length are encoded whole, in time linear in their length.
 Repeated rows are encoded alike and all kept.
@@ -30,10 +35,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the pre-split pattern published with this vocabulary.
 PRE_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words remembered per Python worker; the memory is emptied when full, which changes no result.
+#: Words remembered per Python worker, and entries of the rows that are kept; both are emptied when full, which
+#: changes no result.
 REMEMBERED = 400_000
-
-_INF = 1 << 60
+ROW_ENTRIES = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,88 +56,82 @@ class MergeAutomaton:
     """Deterministic automaton of a BPE vocabulary whose ids are merge ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
-        self.whole = {i for t, i in ranks.items() if len(t) == 1}
-        self._parts: dict[int, tuple[int, int] | None] = {}
-        self._left: dict[int, list[tuple[int, int]]] = {}
-        self._right: dict[int, list[tuple[int, int]]] = {}
-        self._arcs: dict[tuple[int, int], bool] = {}
-
-    def parts(self, token: int) -> tuple[int, int] | None:
-        """The two labels whose merge made this one; None for a single byte."""
-        if token in self._parts:
-            return self._parts[token]
-        made = None
-        text = self.tokens[token]
-        if len(text) > 1:
-            line = [bytes([b]) for b in text]
-            while len(line) > 2:
-                options = [(self.ranks.get(line[k] + line[k + 1], _INF), k) for k in range(len(line) - 1)]
-                rank, k = min(options)
-                if rank >= token:
-                    break
-                line[k : k + 2] = [line[k] + line[k + 1]]
-            if len(line) == 2:
-                made = (self.ranks[line[0]], self.ranks[line[1]])
-        self._parts[token] = made
-        return made
-
-    def _spine(self, token: int, side: int, memo: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
-        """Labels that touch the boundary on one side, each with the rank of the merge that swallows it."""
-        if token not in memo:
-            spine, at, until = [], token, _INF
+        self.labels: dict[bytes, int] = {}
+        self.prefixes: set[bytes] = set()
+        #: The gadgets: for a label its two parts, and for the state after a label the labels it lost, with the rank.
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.lost: dict[int, dict[int, int]] = {}
+        self._rows: dict[int, dict[int, int]] = {}
+        self._entries = 0
+        for rank in sorted(self.tokens):
+            token = self.tokens[rank]
+            if len(token) > 1:
+                made = self.path(token)
+                if len(made) != 2:
+                    continue  # no merge makes this token
+                self._add_gadget(*made, rank)
+            self.labels[token] = rank
+            self.prefixes.update(token[:k] for k in range(1, len(token) + 1))
+
+    def _add_gadget(self, u: int, v: int, rank: int) -> None:
+        self.parts[rank] = (u, v)
+        self.lost.setdefault(u, {})[v] = rank
+        if u in self._rows:
+            self._rows[u].setdefault(v, rank)
+
+    def row(self, state: int) -> dict[int, int]:
+        """Labels that the state after label ``state`` lost, each with the rank of the gadget that took it first."""
+        kept = self._rows.get(state)
+        if kept is None:
+            kept, at, until = {}, state, None
             while True:
-                spine.append((at, until))
-                split = self.parts(at)
-                if split is None:
+                for label, rank in self.lost.get(at, {}).items():
+                    # The state is a copy of the state after its last part, made when its own gadget was added.
+                    if until is None or rank < until:
+                        kept[label] = min(rank, kept.get(label, rank))
+                if at not in self.parts:
                     break
-                until, at = at, split[side]
-            memo[token] = spine
-        return memo[token]
-
-    def arc(self, left: int, right: int) -> bool:
-        """Whether label ``right`` may follow label ``left``."""
-        key = (left, right)
-        known = self._arcs.get(key)
-        if known is None:
-            known = True
-            for a, a_until in self._spine(left, 1, self._right):
-                for b, b_until in self._spine(right, 0, self._left):
-                    made = self.ranks.get(self.tokens[a] + self.tokens[b])
-                    # The gadget of ``made`` fires across the boundary while a and b are both still there. Of
-                    # two equal merges in a row the left one goes first, hence < on the left and <= on the right.
-                    if made is not None and self.parts(made) == (a, b) and made < a_until and made <= b_until:
-                        known = False
-                        break
-                if not known:
-                    break
-            self._arcs[key] = known
-        return known
-
-    def encode_word(self, word: bytes) -> tuple[int, ...]:
+                until = at
+                at = self.parts[at][1]
+            if self._entries > ROW_ENTRIES:
+                self._rows.clear()
+                self._entries = 0
+            self._rows[state] = kept
+            self._entries += len(kept) + 1
+        return kept
+
+    def arc(self, state: int, label: int) -> bool:
+        """Whether the state after label ``state`` has an arc ``label``."""
+        row = self.row(state)
+        rank = row.get(label)
+        if rank is not None:
+            return False
+        # A label came with the arc of its first part, if the state still had that when its gadget was added.
+        while label in self.parts:
+            made, label = label, self.parts[label][0]
+            rank = row.get(label)
+            if rank is not None and rank <= made:
+                return False
+        return True
+
+    def path(self, word: bytes) -> tuple[int, ...]:
         """Labels of the one accepted path of a byte string."""
-        whole = self.ranks.get(word)
-        if whole is not None and (len(word) == 1 or self.parts(whole) is not None):
-            return (whole,)
         n = len(word)
         last = [-1] * (n + 1)
-        ranks, prefixes, arc = self.ranks, self.prefixes, self.arc
+        labels, prefixes, arc = self.labels, self.prefixes, self.arc
         for i in range(n):
             state = last[i]
             if i and state < 0:
                 continue
-            j = i + 1
-            while j <= n:
+            for j in range(i + 1, n + 1):
                 piece = word[i:j]
                 if piece not in prefixes:
                     break
-                label = ranks.get(piece)
-                if label is not None and last[j] < 0 and (i == 0 or arc(state, label)):
-                    if len(piece) == 1 or self.parts(label) is not None:
+                if last[j] < 0:
+                    label = labels.get(piece)
+                    if label is not None and (i == 0 or arc(state, label)):
                         last[j] = label
-                j += 1
         out = []
         at = n
         while at > 0:
@@ -152,7 +151,7 @@ class _Words(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))
+        ids = self.automaton.path(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -163,8 +162,8 @@ class _Words(dict):
 class Encoder:
     """Pre-split plus automaton."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.words = _Words(MergeAutomaton(ranks))
+    def __init__(self, automaton: MergeAutomaton):
+        self.words = _Words(automaton)
         self.split = regex.compile(PRE_SPLIT).findall
         self.get = self.words.__getitem__
 
@@ -180,15 +179,15 @@ _ENCODERS: dict[int, Encoder] = {}
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(id, ids) for every row of ``df``; no shuffle, one pass over the text column.
 
-    The vocabulary (under 1 MB) is read once on the driver and sent to the executors.
+    The vocabulary (under 1 MB) is read and compiled once on the driver; its gadgets (a few MB) are sent to the executors.
     """
-    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    automaton = df.sparkSession.sparkContext.broadcast(MergeAutomaton(load_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(ranks.value)
+        key = id(automaton.value)
         if key not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(ranks.value)
+            _ENCODERS[key] = Encoder(automaton.value)
         encode = _ENCODERS[key].encode
         for batch in batches:
             lists = [encode(t) for t in batch.column(1).to_pylist()]
