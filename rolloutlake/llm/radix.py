@@ -34,6 +34,9 @@ PUNCTUATION = (
 #: Prefix lengths of the radix levels.
 LEVELS = (6, 12, 24, 48, 96)
 
+#: Up to this number oversized prefixes are broadcast (under 50 MB).
+SENT = 100_000
+
 
 def _class(chars: str) -> str:
     return "".join("\\" + c if c in "[]\\^-&.()?" else c for c in chars)
@@ -62,31 +65,35 @@ def canonical(text: Column) -> Column:
     return F.when(F.size(options) > 0, with_options).otherwise(plain)
 
 
+def _prefix(level: int) -> Column:
+    """The group and the first ``level`` characters of the canonical form."""
+    return F.concat(F.col("grp"), F.lit("\u0002"), F.substring("canon", 1, level))
+
+
 def buckets(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    """Adds ``bucket`` (a prefix, with its level) and ``salt`` to rows with ``canon``.
+    """Adds ``bucket`` (a prefix, with its group), ``salt`` and ``salted`` to rows with ``grp`` and ``canon``.
 
     One partial aggregate counts the prefixes of the deepest level. The coarser levels are summed from those
-    counts. What reaches the rows is the list of oversized prefixes, at most levels x rows / bucket_rows entries.
+    counts. What reaches the rows is the list of oversized prefixes, at most levels x rows / bucket_rows entries, which
+    is broadcast only if it is short.
     """
-    deepest = LEVELS[-1]
-    counted = rows.groupBy(F.substring("canon", 1, deepest).alias("p")).count()
+    counted = rows.groupBy("grp", F.substring("canon", 1, LEVELS[-1]).alias("canon")).count()
     over = None
     for level in LEVELS:
-        big = counted.groupBy(F.substring("p", 1, level).alias("prefix")).agg(F.sum("count").alias("n")).where(F.col("n") > bucket_rows).select(F.lit(level).alias("level"), "prefix", "n")
+        big = counted.groupBy(_prefix(level).alias("prefix")).agg(F.sum("count").alias("n")).where(F.col("n") > bucket_rows).select(F.lit(level).alias("level"), "prefix", "n")
         over = big if over is None else over.unionByName(big)
-    over = common.written(over.coalesce(1), "oversized")
-    few = over.count() <= 100_000
-    out = rows.withColumn("bucket", F.substring("canon", 1, LEVELS[0])).withColumn("salt", F.lit(0)).withColumn("open", F.lit(True))
+    over = common.written(over, "oversized")
+    few = over.count() <= SENT
+    out = rows.withColumn("bucket", _prefix(LEVELS[0])).withColumn("salt", F.lit(0)).withColumn("open", F.lit(True))
     for k, level in enumerate(LEVELS):
         big = over.where(F.col("level") == level).select(F.col("prefix").alias("bucket"), F.col("n"))
         out = out.join(F.broadcast(big) if few else big, "bucket", "left")
         split = F.col("open") & F.col("n").isNotNull()
         if k + 1 < len(LEVELS):
-            finer = F.substring("canon", 1, LEVELS[k + 1])
-            out = out.withColumn("open", split).withColumn("bucket", F.when(split, finer).otherwise(F.col("bucket")))
+            out = out.withColumn("open", split).withColumn("bucket", F.when(split, _prefix(LEVELS[k + 1])).otherwise(F.col("bucket")))
         else:
             salts = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
-            out = out.withColumn("salt", F.when(split, F.pmod(F.xxhash64("row_id"), salts).cast("int")).otherwise(F.lit(0)))
+            out = out.withColumn("salted", split).withColumn("salt", F.when(split, F.pmod(F.xxhash64("row_id"), salts).cast("int")).otherwise(F.lit(0)))
         out = out.drop("n")
     return out.drop("open")
 
@@ -118,28 +125,33 @@ def _trie_runs(canons: list[str], ids: list[int]) -> tuple[list[int], list[int],
 
 
 def _read_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tries over rows that arrive sorted by bucket; a bucket's trie is dropped when the next one begins."""
-    held: list[tuple[list, list]] = []
+    """Tries over rows that arrive sorted by bucket; a bucket's trie is dropped when the next one begins.
+
+    In salted buckets a terminal's first row brings its group and canonical form along, to be merged over the salts.
+    """
+    held: list[tuple[list, list, list, list]] = []
     at = None
 
     def flush() -> pa.RecordBatch:
-        canons = [c for cs, _ in held for c in cs]
-        ids = [i for _, rs in held for i in rs]
+        ids, canons, salted, groups = ([x for part in held for x in part[k]] for k in range(4))
         term, counts, small = _trie_runs(canons, ids)
+        told = [(g, c) if s and small[t] == i else (None, None) for g, c, s, t, i in zip(groups, canons, salted, term, ids)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([small[t] for t in term], pa.int64()), pa.array([counts[t] for t in term], pa.int64())],
-            names=["row_id", "first_id", "copies"],
-        )
+            [
+                pa.array(ids, pa.int64()), pa.array([small[t] for t in term], pa.int64()), pa.array([counts[t] for t in term], pa.int64()),
+                pa.array([g for g, _ in told], pa.string()), pa.array([c for _, c in told], pa.string()),
+            ],
+            names=["row_id", "first_id", "copies", "grp", "canon"],
+        )
 
     for batch in batches:
         keys = batch.column(0).to_pylist()
-        rows = batch.column(1).to_pylist()
-        canons = batch.column(2).to_pylist()
+        columns = [batch.column(k).to_pylist() for k in range(1, 5)]
         start = 0
         for k in range(len(keys) + 1):
             if k == len(keys) or (k and keys[k] != keys[k - 1]) or (k == 0 and at is not None and keys[0] != at):
                 if k > start:
-                    held.append((canons[start:k], rows[start:k]))
+                    held.append(tuple(c[start:k] for c in columns))
                 if k < len(keys) and held:
                     yield flush()
                     held = []
@@ -155,25 +167,18 @@ def format_copies(df: DataFrame, group: str, id_col: str, text_col: str, bucket_
 
     ``group`` names a column within whose values copies are sought (a table name, a source).
     """
-    rows = df.where(common.not_blank(F.col(text_col))).select(F.col(id_col).alias("row_id"), F.concat(F.col(group), F.lit("\u0002"), canonical(F.col(text_col))).alias("canon"))
-    rows = common.written(rows, "canonical")
+    rows = df.where(common.not_blank(F.col(text_col))).select(F.col(id_col).alias("row_id"), F.col(group).alias("grp"), canonical(F.col(text_col)).alias("canon"))
+    rows = common.written(rows.withColumn("grp", F.coalesce("grp", F.lit(""))), "canonical")
     placed = buckets(rows, bucket_rows).withColumn("place", F.concat("bucket", F.lit("\u0003"), F.col("salt").cast("string")))
-    salted = placed.where(F.col("salt") > 0).select("bucket").distinct()
-    sorted_rows = placed.select("place", "row_id", "canon").repartition("place").sortWithinPartitions("place")
-    tries = sorted_rows.mapInArrow(_read_buckets, "row_id long, first_id long, copies long")
-    hot = common.written(salted, "salted")
-    if hot.isEmpty():
-        return tries
+    sorted_rows = placed.select("place", "row_id", "canon", "salted", "grp").repartition("place").sortWithinPartitions("place")
+    tries = common.written(sorted_rows.mapInArrow(_read_buckets, "row_id long, first_id long, copies long, grp string, canon string"), "terminals")
     # The terminals of salted buckets: merge equal canonical forms over their salts.
-    tries = common.written(tries, "terminals")
-    in_hot = placed.join(F.broadcast(hot), "bucket", "left_semi").select("row_id", F.xxhash64("canon").alias("h1"), F.hash("canon").alias("h2"), F.length("canon").alias("h3"))
-    terminals = in_hot.join(tries, "row_id").groupBy("h1", "h2", "h3", "first_id").agg(F.first("copies").alias("copies"))
-    merged = terminals.groupBy("h1", "h2", "h3").agg(F.min("first_id").alias("least"), F.sum("copies").alias("total"))
-    fixed = terminals.join(merged, ["h1", "h2", "h3"]).select("first_id", "least", "total")
-    return (
-        tries.join(F.broadcast(fixed) if fixed.count() <= 200_000 else fixed, "first_id", "left")
-        .select("row_id", F.coalesce("least", "first_id").alias("first_id"), F.coalesce("total", "copies").alias("copies"))
-    )
+    terminals = tries.where("canon IS NOT NULL").select("grp", "canon", "first_id", "copies")
+    if terminals.isEmpty():
+        return tries.select("row_id", "first_id", "copies")
+    merged = terminals.groupBy("grp", "canon").agg(F.min("first_id").alias("least"), F.sum("copies").alias("total"))
+    fixed = terminals.join(merged, ["grp", "canon"]).select("first_id", "least", "total")
+    return tries.join(fixed, "first_id", "left").select("row_id", F.coalesce("least", "first_id").alias("first_id"), F.coalesce("total", "copies").alias("copies"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
