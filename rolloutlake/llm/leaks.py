@@ -8,7 +8,7 @@ document value).
 
 Null, empty and blank texts and texts below twelve words hold no passage. Whole texts are searched; a document is
 reported once for an item however often it repeats the passage; extra columns are not read. The items are a small
-table that does not grow; they are sent to the executors as hashes (under 64 bytes a word).
+table; they are sent to the executors in blocks of a checked size.
 """
 
 from __future__ import annotations
@@ -95,8 +95,23 @@ def item_windows(items: list[tuple[int, str]], templates: Templates, window: int
     return out
 
 
-def passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id_col, item_col, doc_words, item_words): every pair of windows with equal templates."""
+#: Characters of items that are sent to the executors at once (about 20 MB of windows); more items take more passes.
+BLOCK_CHARS = 1_000_000
+
+
+def passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(id_col, item_col, doc_words, item_words): every pair of windows with equal templates.
+
+    Items are split into blocks by a hash of their id, so that no more than about ``block_chars`` characters are
+    collected and broadcast at once. Canonical words are those of a block.
+    """
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = total // block_chars + 1
+    block = F.pmod(F.xxhash64(item_col), F.lit(blocks))
+    return common.union_all([_passages(docs, items.where(block == k) if blocks > 1 else items, window, id_col, text_col, item_col) for k in range(blocks)])
+
+
+def _passages(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, item_col: str) -> DataFrame:
     spark = docs.sparkSession
     held = [(r[0], r[1]) for r in items.select(item_col, "text").collect()]
     templates = Templates(held)

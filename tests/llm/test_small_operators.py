@@ -62,11 +62,25 @@ def test_split_groups_stay_whole(spark):
     assert splits.cut_by_weight(df.limit(0)).collect() == []
 
 
-def test_conflicting_names_join_one_group(spark):
-    rows = spark.createDataFrame([(1, "train_sanity", ["a", "b"]), (2, "train_sanity", ["b"]), (3, "train_sanity", ["c"]), (4, "train_sanity", []), (5, "train_sanity", [])], "row_id long, source_table string, names array<string>")
-    got = {r.row_id: (r.video, r.grp) for r in splits.grouped_rows(rows).collect()}
-    assert got[1][1] == got[2][1] != got[3][1] and got[1][0] == "a" and got[2][0] == "b"
-    assert got[4][0] is None and got[4][1] != got[5][1]
+def test_names_come_through_the_components(spark):
+    rows = [
+        (1, "t", [("t/video_id:v=a", "a"), ("t/id:b-1", "b")]),  # two names: one group, each row its own
+        (2, "t", [("t/id:b-1", "b")]),
+        (3, "t", [("t/video_id:c", "c"), ("t/audio_file:odd c", None)]),
+        (4, "t", [("t/audio_file:odd c", None)]),  # named by row 3
+        (5, "t", [("t/audio_file:odd c", None), ("t/id:?1", None)]),
+        (6, "t", [("t/id:?1", None)]),  # named by row 3 through row 5
+        (7, "t", [("t/video_id:c", "c"), ("t/video_file:x.mp4", None)]),
+        (8, "t", [("t/video_id:d", "d"), ("t/video_file:x.mp4", None)]),
+        (9, "t", [("t/video_file:x.mp4", None), ("t/id:?2", None)]),  # a common file name is no evidence
+        (10, "t", []),
+        (10, "t", []),
+    ]
+    df = spark.createDataFrame(rows, "row_id long, source_table string, readings array<struct<spelling string, name string>>")
+    got = {r.row_id: (r.video, r.grp) for r in splits.grouped_rows(df).collect()}
+    assert [got[k][0] for k in range(1, 11)] == ["a", "b", "c", "c", "c", "c", "c", "d", None, None]
+    assert got[1][1] == got[2][1] and len({got[k][1] for k in (3, 4, 5, 6, 7)}) == 1 and len({got[k][1] for k in (1, 3, 8, 9, 10)}) == 5
+    assert splits.grouped_rows(df.limit(0)).collect() == []
 
 
 def test_quotas(spark):
@@ -115,3 +129,31 @@ def test_leaks(spark):
     assert (2, 7) in reworked
     assert leaks.literal_passages(docs.limit(0), items).collect() == []
     assert leaks.literal_passages(docs, items.limit(0)).collect() == []
+
+
+def test_reworked_passages_are_found_among_others(spark):
+    """Planted passages with other numbers, names and units in their slots: recall and precision against what was planted."""
+    rng = random.Random(4)
+    names, things = ["Wynilois", "Tarquin", "Belmora", "Ostrava"], ["purses", "carpets", "anchors", "lamps", "kettles", "ropes"]
+    text = lambda name, a, b, unit, x, y: f"Every morning in {name} the keeper moves {a} {x} past the wide gate and {b} {unit} later {y} are counted by the clerk."
+    items = [(k, text(names[k % 4], 10 + k, 300 + k, "minutes", things[k % 6], things[(k + 1) % 6])) for k in range(12)]
+    docs, planted = [], set()
+    for k in range(200):
+        filler = " ".join(rng.choice(["tape", "fan", "log", "shelf", "river"]) for _ in range(30))
+        if k % 2:
+            i = rng.randrange(12)
+            other = items[i][1].replace(names[i % 4], rng.choice(["Quill", "Zorbina"])).replace(str(10 + i), str(rng.randrange(500, 999))).replace(str(300 + i), str(rng.randrange(1000, 2000))).replace("minutes", "hours")
+            docs.append((k, f"{filler} {other} {filler}"))
+            planted |= {(k, j) for j in range(12) if j % 6 == i % 6}  # items with the same things are one template but for their slots
+        else:
+            docs.append((k, f"{filler} {' '.join(sorted(items[k % 12][1].split(), key=str.lower))}"))
+    got = {(r.doc_id, r.item_id) for r in leaks.reworked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert planted <= got and len(got) <= 1.05 * len({d for d, _ in planted}) * 12
+    assert {d for d, _ in got} == {d for d, _ in planted}
+
+
+def test_leaks_of_many_items_in_blocks(spark):
+    items = spark.createDataFrame([(k, ITEM.replace("405", str(405 + k))) for k in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"x {ITEM.replace('405', str(405 + k))}") for k in range(0, 30, 3)], "doc_id long, text string")
+    found = leaks.passages(docs, items, block_chars=500).where("doc_words = item_words").select("doc_id", "item_id").distinct()
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in leaks.literal_passages(docs, items).collect()} >= {(k, k) for k in range(0, 30, 3)}
