@@ -1,9 +1,15 @@
-"""Array, mask and sequence functions over token arrays, as column expressions (JVM side)."""
+"""Array, mask and sequence functions over token arrays: column expressions (JVM side), and Arrow batches for running sums,
+which an interpreted lambda can only say in quadratic time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _sum(a: Column) -> Column:
@@ -45,7 +51,12 @@ def tail_mask(attention: Column, response: int) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """max(cumulative sum of the mask - 1, 0)."""
-    return F.transform(mask, lambda _, i: F.greatest(F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, m: a + m) - 1, F.lit(0)))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(masks: pd.Series) -> pd.Series:
+        return masks.map(lambda m: np.maximum(np.cumsum(m) - 1, 0).astype(np.int32), na_action="ignore")
+
+    return run(F.transform(mask, lambda x: x.cast("int")))
 
 
 def pad_to(a: Column, length: int, pad: int = 0, left: bool = False) -> Column:
@@ -111,7 +122,12 @@ def temperature(logits: Column, t: float) -> Column:
 
 def inverse_permutation(idx: Column) -> Column:
     """inv[idx[i]] = i."""
-    return F.transform(idx, lambda _, i: (F.array_position(idx, i) - 1).cast("int"))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(orders: pd.Series) -> pd.Series:
+        return orders.map(lambda x: np.argsort(x, kind="stable").astype(np.int32), na_action="ignore")
+
+    return run(F.transform(idx, lambda x: x.cast("int")))
 
 
 def round_up(a: Column, b: int) -> Column:
@@ -128,34 +144,75 @@ def score_at_last(score: Column, mask: Column, response: int) -> Column:
     return F.slice(F.transform(mask, lambda _, i: F.when(i == valid - 1, score).otherwise(F.lit(0.0))), -response, response)
 
 
+def _scan_back(parts: list[pd.Series], start: int, step: Callable[..., tuple[np.ndarray, ...]]) -> pd.Series:
+    """Runs ``step(state, values)`` from the last position to the first of all arrays of a batch at once; linear in the tokens.
+
+    ``state`` has ``start`` numbers per array, the first of which is what comes out. Null arrays give null.
+    """
+    there = np.flatnonzero(np.logical_and.reduce([p.notna().to_numpy() for p in parts]))
+    out: list = [None] * len(parts[0])
+    sizes = np.array([len(parts[0].iloc[i]) for i in there], np.int64)
+    order = there[np.argsort(-sizes, kind="stable")]
+    at = 0
+    while at < len(order):
+        longest = max(1, len(parts[0].iloc[order[at]]))
+        rows = order[at : at + max(1, 2_000_000 // longest)]
+        at += len(rows)
+        n = np.array([len(parts[0].iloc[i]) for i in rows])
+        mats = []
+        for p in parts:
+            m = np.zeros((len(rows), longest))
+            for r, i in enumerate(rows):
+                m[r, : n[r]] = p.iloc[i]
+            mats.append(m)
+        result = np.zeros((len(rows), longest))
+        state = tuple(np.zeros(len(rows)) for _ in range(start))
+        for t in range(longest - 1, -1, -1):
+            live = n > t
+            new = step(state, tuple(m[:, t] for m in mats))
+            result[:, t] = new[0]
+            state = tuple(np.where(live, x, 0.0) for x in new[1:])
+        for r, i in enumerate(rows):
+            out[i] = result[r, : n[r]]
+    return pd.Series(out, dtype=object)
+
+
 def reverse_cumsum(rewards: Column) -> Column:
-    """Suffix sums in one fold from the right."""
-    step = F.aggregate(F.reverse(rewards), F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("o")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(F.array(a["s"] + x), a["o"]).alias("o")))
-    return step["o"]
+    """Suffix sums."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(r: pd.Series) -> pd.Series:
+        return _scan_back([r], 1, lambda s, x: (s[0] + x[0],) * 2)
+
+    return run(F.transform(rewards, lambda x: x.cast("double")))
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted sum that starts again at 0 after masked-out tokens."""
-    zipped = F.reverse(F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.cast("double").alias("m"))))
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("o"))
 
-    def step(a, x):
-        total = x["r"] + F.lit(gamma) * a["s"]
-        return F.struct((total * x["m"]).alias("s"), F.concat(F.array(total), a["o"]).alias("o"))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(r: pd.Series, m: pd.Series) -> pd.Series:
+        def step(s, x):
+            total = x[0] + gamma * s[0]
+            return total, total * x[1]
 
-    return F.aggregate(zipped, start, step)["o"]
+        return _scan_back([r, m], 1, step)
+
+    return run(F.transform(rewards, lambda x: x.cast("double")), F.transform(mask, lambda x: x.cast("double")))
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Advantages A_t = d_t + gamma lam A_(t+1) with d_t = r_t + gamma V_(t+1) - V_t, as one fold from the right."""
-    zipped = F.reverse(F.zip_with(rewards, values, lambda r, v: F.struct(r.cast("double").alias("r"), v.cast("double").alias("v"))))
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("o"))
+    """Advantages A_t = d_t + gamma lam A_(t+1) with d_t = r_t + gamma V_(t+1) - V_t."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(r: pd.Series, v: pd.Series) -> pd.Series:
+        def step(s, x):
+            a = x[0] + gamma * s[1] - x[1] + gamma * lam * s[0]
+            return a, a, x[1]
 
-    def step(acc, x):
-        a = x["r"] + F.lit(gamma) * acc["next"] - x["v"] + F.lit(gamma * lam) * acc["a"]
-        return F.struct(a.alias("a"), x["v"].alias("next"), F.concat(F.array(a), acc["o"]).alias("o"))
+        return _scan_back([r, v], 2, step)
 
-    return F.aggregate(zipped, start, step)["o"]
+    return run(F.transform(rewards, lambda x: x.cast("double")), F.transform(values, lambda x: x.cast("double")))
 
 
 def kl_estimate(log_prob: Column, ref: Column, kind: str = "kl") -> Column:

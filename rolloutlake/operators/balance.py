@@ -1,7 +1,8 @@
 """Balanced packing of sequences by length.
 
-Packing is a sequential fold over (id, length) summaries of one batch, which is small by nature; batches are packed
-in parallel (one group per batch). The rows themselves never travel: bins are joined back on the id.
+Packing is a sequential fold over (id, length) summaries of one batch; batches are packed in parallel (one group per
+batch), and a batch of more than MOST_ROWS rows is refused. The rows themselves never travel: bins are joined back on the
+id.
 """
 
 from __future__ import annotations
@@ -13,6 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most rows of one batch.
+MOST_ROWS = 2_000_000
+
+
+def padded(df: DataFrame, batch: str, key: str, length: str, k: int) -> DataFrame:
+    """(batch, key, length) with items of length 0 and negative keys -1, -2, ... until each batch divides into k."""
+    sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n")).withColumn("_p", F.pmod(-F.col("_n"), F.lit(k)).cast("int")).where(F.col("_p") > 0)
+    kind = f"array<{df.schema[key].dataType.simpleString()}>"
+    extra = sizes.select(batch, F.explode(F.sequence(F.lit(-1), -F.col("_p")).cast(kind)).alias(key), F.lit(0).cast(df.schema[length].dataType).alias(length))
+    return df.select(batch, key, length).unionByName(extra)
+
+
 def differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
     """Largest differencing into k bins; with ``equal_size``, rows are grouped k at a time so that bins hold equally many."""
     n = len(lengths)
@@ -55,6 +68,8 @@ def balanced(df: DataFrame, batch: str, key: str, length: str, k: int, equal_siz
     bk, kk = df.schema[batch].dataType.simpleString(), df.schema[key].dataType.simpleString()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > MOST_ROWS:
+            raise ValueError("batch too large to pack")
         part = part.sort_values(key).reset_index(drop=True)
         bins = method([int(x) for x in part[length]], k, equal_size)
         at = pd.Series(0, index=part.index)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolloutlake.functions import text as tx
+
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -65,3 +69,28 @@ def gold_answer(answer: Column, open_answer: Column) -> Column:
 def gathered_responses(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """n samples per row as one responses array in order."""
     return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_r")).select(key, F.col("_r")[text].alias("responses"))
+
+
+def media_rows(df: DataFrame, question: str, answer: str, instruction: str, images: Sequence[str] = (), videos: Sequence[str] = (), audios: Sequence[str] = ()) -> DataFrame:
+    """Question rows with media: a placeholder in front of the question and an entry in the list for every medium that is there."""
+    there = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
+    lists, marks = {}, []
+    for kind, columns in (("image", images), ("video", videos), ("audio", audios)):
+        lists[f"{kind}s"] = F.filter(F.array(*[F.when(there(c), F.col(c)) for c in columns]).cast("array<string>"), lambda x: x.isNotNull())
+        marks += [F.when(there(c), f"<{kind}>").otherwise("") for c in columns]
+    content = F.concat(*marks, F.col(question), F.lit(f" {instruction}"))
+    return df.select(
+        F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("prompt"), *[v.alias(k) for k, v in lists.items()],
+        F.struct(F.lit("rule").alias("style"), F.col(answer).alias("ground_truth")).alias("reward_model"),
+    )
+
+
+def tool_rows(df: DataFrame, question: str, solution: str, tool: str) -> DataFrame:
+    """Rows for a calculator-like tool: the truth is the number behind ``####`` without commas, and the tool is created with it."""
+    truth = tx.first_hash_answer(F.col(solution))
+    kwargs = F.struct(F.lit(tool).alias("tool"), F.struct(truth.alias("ground_truth")).alias("create_kwargs"))
+    return df.select(
+        F.array(F.struct(F.lit("user").alias("role"), F.col(question).alias("content"))).alias("prompt"),
+        F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"),
+        F.struct(F.lit(True).alias("need_tools_kwargs"), F.col(solution).alias("answer"), F.col(question).alias("question"), kwargs.alias("tools_kwargs")).alias("extra_info"),
+    )

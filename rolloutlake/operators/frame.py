@@ -9,30 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the order key whose sizes are summed before rows are numbered within each range.
-RANGES = 2048
+#: Coarse ranges of the order key, most fine ranges in each of them, and rows that a fine range is meant to hold.
+RANGES, FINE, RANGE_ROWS = 2048, 2048, 20_000
 
 
 def with_row_index(df: DataFrame, order: str, out: str = "row_idx", start: int = 0) -> DataFrame:
-    """Dense index in the order of a numeric, unique column.
+    """Dense index in the order of a numeric, unique column; rows without it are left out.
 
-    The key's span is cut into ranges; the ranges' row counts (at most RANGES of them) are cumulated and broadcast,
-    and rows are numbered inside their range, so that no window spans the table.
+    The key's span is cut into ranges, more of them the more rows there are, so that clustered keys still fall into
+    many. The ranges' row counts are cumulated inside coarse ranges and over these (at most RANGES of them), and rows
+    are numbered inside their range: one shuffle by range, and no window spans the table.
     """
-    span = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    cut = df.crossJoin(F.broadcast(span)).withColumn("_range", F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * RANGES).cast("int"))
-    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = cut.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + start)
-    return numbered.drop("_range", "_before", "_lo", "_hi")
+    told = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
+    fine = max(1, min(FINE, int(told["n"] // (RANGES * RANGE_ROWS)) + 1))
+    lo, hi = (told["lo"], told["hi"]) if told["n"] else (0, 0)
+    place = F.floor((F.col(order) - F.lit(lo)) / F.lit(hi - lo + 1) * (RANGES * fine)).cast("int")
+    cut = df.where(F.col(order).isNotNull()).withColumn("_range", place)
+    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_coarse", F.floor(F.col("_range") / fine))
+    coarse = sizes.groupBy("_coarse").agg(F.sum("_n").alias("_s"))
+    over = coarse.select("_coarse", F.coalesce(F.sum("_s").over(Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.sum("_n").over(Window.partitionBy("_coarse").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.withColumn("_w", F.coalesce(inside, F.lit(0))).join(over, "_coarse").select("_range", (F.col("_o") + F.col("_w")).alias("_before"))
+    numbered = cut.join(offsets, "_range").withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + start)
+    return numbered.drop("_range", "_before")
 
 
 def select_indices(df: DataFrame, indices: list[int], index: str = "row_idx") -> DataFrame:
     """Rows by index list; order (``pos``) and repeats are kept, negative indices count from the end."""
     n = df.count() if any(i < 0 for i in indices) else 0
     wanted = df.sparkSession.createDataFrame([(p, i + n if i < 0 else i) for p, i in enumerate(indices)], f"pos long, {index} long")
-    return F.broadcast(wanted).join(df, index)
+    return wanted.join(df, index)
 
 
 def select_mask(df: DataFrame, mask: Column) -> DataFrame:
@@ -103,12 +109,12 @@ def fixed_batches(df: DataFrame, size: int, index: str = "row_idx", out: str = "
     return df.withColumn(out, F.floor(F.col(index) / size).cast("long"))
 
 
-def reorder(df: DataFrame, permutation: list[int], index: str = "row_idx") -> DataFrame:
-    """Row permutation[i] becomes row i."""
-    if sorted(permutation) != list(range(len(permutation))):
+def reorder(df: DataFrame, permutation: DataFrame, index: str = "row_idx") -> DataFrame:
+    """Row ``index`` becomes row ``new_idx`` of the permutation (index, new_idx), a table of its own; it must hold each index once."""
+    counts = permutation.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(index).alias("a"), F.count_distinct("new_idx").alias("b"), F.min("new_idx").alias("lo"), F.max("new_idx").alias("hi"), F.min(index).alias("first"), F.max(index).alias("last")).first()
+    if counts["n"] and (len({counts["n"], counts["a"], counts["b"], counts["hi"] + 1, counts["last"] + 1}) > 1 or counts["lo"] or counts["first"]):
         raise ValueError("not a permutation")
-    moved = df.sparkSession.createDataFrame(list(enumerate(permutation)), f"_new long, {index} long")
-    return df.join(F.broadcast(moved), index).drop(index).withColumnRenamed("_new", index)
+    return df.join(permutation.select(index, "new_idx"), index).drop(index).withColumnRenamed("new_idx", index)
 
 
 def repeat_rows(df: DataFrame, times: int, interleave: bool = True, n: int | None = None, index: str = "row_idx") -> DataFrame:

@@ -60,21 +60,55 @@ def gspo_loss(df: DataFrame, sequence: str, old: str, new: str, advantage: str,
     return per.agg(F.avg(F.greatest(-mean_a * F.col("_ratio"), -mean_a * _clip(F.col("_ratio"), 1 - low, 1 + high))).alias("loss"))
 
 
-def kl_cov_tokens(df: DataFrame, key: str, new: str, advantage: str, mask: str, share: float) -> DataFrame:
-    """Masked tokens with the largest covariance of advantage and log-probability: the top ``share`` of all (a distributed top-n)."""
+#: Bins of a covariance histogram.
+COV_BINS = 4096
+
+
+def _with_cov(df: DataFrame, new: str, advantage: str, mask: str) -> tuple[DataFrame, int]:
+    """Masked tokens with the covariance of advantage and log-probability (nine digits), and their number."""
     used = df.where(F.col(mask) == 1)
     stats = used.agg(F.avg(advantage).alias("_a"), F.avg(new).alias("_l"), F.count(F.lit(1)).alias("_n")).first()
     cov = (F.col(advantage) - F.lit(stats["_a"])) * (F.col(new) - F.lit(stats["_l"]))
-    return used.withColumn("cov", F.round(cov, 9)).orderBy(F.col("cov").desc(), key).limit(max(1, int(stats["_n"] * share)))
+    return used.withColumn("cov", F.round(cov, 9)), stats["_n"]
+
+
+def _largest(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the largest values (smallest keys on ties): a histogram tells the bin of the last one, only that bin is ranked."""
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    if ends["lo"] is None or n <= 0:
+        return df.limit(0)
+    width = (ends["hi"] - ends["lo"]) / COV_BINS or 1.0
+    binned = df.withColumn("_bin", F.least(F.floor((F.col(value) - F.lit(ends["lo"])) / F.lit(width)), F.lit(COV_BINS - 1)).cast("int"))
+    above, edge, left = 0, -1, 0
+    for r in sorted(binned.groupBy("_bin").count().collect(), key=lambda r: -r["_bin"]):
+        if above + r["count"] >= n:
+            edge, left = r["_bin"], n - above
+            break
+        above += r["count"]
+    ranked = binned.where(F.col("_bin") == edge).orderBy(F.col(value).desc(), key).limit(left)
+    return binned.where(F.col("_bin") > edge).unionByName(ranked).drop("_bin")
+
+
+def kl_cov_tokens(df: DataFrame, key: str, new: str, advantage: str, mask: str, share: float) -> DataFrame:
+    """Masked tokens with the largest covariance of advantage and log-probability: the top ``share`` of all, one at least."""
+    rows, n = _with_cov(df, new, advantage, mask)
+    return _largest(rows, "cov", key, max(1, int(n * share)) if n else 0)
 
 
 def clip_cov_candidates(df: DataFrame, new: str, advantage: str, mask: str, low: float, high: float) -> DataFrame:
     """Tokens whose covariance lies in (low, high): those a clip-cov step draws from."""
-    used = df.where(F.col(mask) == 1)
-    stats = used.agg(F.avg(advantage).alias("_a"), F.avg(new).alias("_l"))
-    rows = used.crossJoin(F.broadcast(stats))
-    cov = (F.col(advantage) - F.col("_a")) * (F.col(new) - F.col("_l"))
-    return rows.withColumn("cov", cov).where((F.col("cov") > low) & (F.col("cov") < high)).drop("_a", "_l")
+    return _with_cov(df, new, advantage, mask)[0].where((F.col("cov") > low) & (F.col("cov") < high))
+
+
+def clip_cov_tokens(df: DataFrame, key: str, new: str, advantage: str, mask: str, low: float, high: float, share: float, seed: int = 0) -> DataFrame:
+    """The tokens whose loss a clip-cov step sets to zero: of the candidates, ``share`` of all masked tokens in the order of a hash.
+
+    The hash stands for the random draw, so the same tokens come out in every run; all candidates if there are fewer.
+    """
+    rows, n = _with_cov(df, new, advantage, mask)
+    candidates = rows.where((F.col("cov") > low) & (F.col("cov") < high))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double")
+    return _largest(candidates.withColumn("_d", -draw), "_d", key, max(1, int(n * share)) if n else 0).drop("_d")
 
 
 def value_loss(df: DataFrame, pred: str, returns: str, old: str, mask: str, clip_range: float) -> DataFrame:

@@ -85,14 +85,17 @@ def test_cases_udf(payload: pd.Series) -> pd.Series:
 
 
 def process_rloo(df: DataFrame, prompt: str, sequence: str, position: str, reward: str, mask: str) -> DataFrame:
-    """Token rewards less the mean reward of the prompt's other sequences, cumulated from the end of each sequence."""
+    """Token rewards less the mean reward of the prompt's other sequences, cumulated from the end of each sequence.
+
+    Sums across rows are made in decimals of twelve digits, so that they do not depend on the order of partial sums.
+    """
+    exact = "decimal(28,12)"
     m = F.col(mask)
-    per = df.groupBy(prompt, sequence).agg((F.sum(F.col(reward) * m) / F.greatest(F.sum(m), F.lit(1))).alias("_r"))
-    w = Window.partitionBy(prompt)
-    n = F.count(F.lit(1)).over(w)
-    others = per.withColumn("_b", F.when(n > 1, (F.sum("_r").over(w) - F.col("_r")) / (n - 1)).otherwise(F.lit(0.0)))
-    joined = df.join(others.select(prompt, sequence, "_b"), [prompt, sequence])
-    end = Window.partitionBy(prompt, sequence).orderBy(position).rowsBetween(0, Window.unboundedFollowing)
+    per = df.groupBy(prompt, sequence).agg((F.sum((F.col(reward) * m).cast(exact)).cast("double") / F.greatest(F.sum(m), F.lit(1))).cast(exact).alias("_r"))
+    totals = per.groupBy(prompt).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    base = F.when(F.col("_n") > 1, (F.col("_s") - F.col("_r")).cast("double") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
+    joined = df.join(per.join(totals, prompt).select(prompt, sequence, base.alias("_b")), [prompt, sequence])
+    end = Window.partitionBy(prompt, sequence).orderBy(F.col(position).desc()).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn("advantage", F.sum((F.col(reward) - F.col("_b")) * m).over(end)).drop("_b")
 
 

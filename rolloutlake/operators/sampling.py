@@ -78,22 +78,36 @@ def uniform_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame
     return df.withColumn("_h", seeded(F.col(key), seed=seed)).orderBy("_h", key).limit(n).drop("_h")
 
 
+def _last_ranked(hashed: DataFrame, key: str, rank: int) -> tuple[int, object]:
+    """(hash, key) of the row of a rank in the order of (``_h``, key): two histograms of 4,096 bins, then the rows of one fine bin."""
+    part, left = hashed, rank
+    for shift in (40, 28):
+        bins = part.groupBy(F.shiftright("_h", shift).alias("_b")).count().collect()
+        for r in sorted(bins, key=lambda r: r["_b"]):
+            if left <= r["count"]:
+                part = part.where(F.shiftright("_h", shift) == r["_b"])
+                break
+            left -= r["count"]
+    last = part.select("_h", F.col(key).alias("_key")).orderBy("_h", "_key").limit(left).agg(F.max(F.struct("_h", "_key")).alias("m")).first()["m"]
+    return last["_h"], last["_key"]
+
+
 def ratio_split(df: DataFrame, parts: list[tuple[str, float]], key: str, seed: int = 42, out: str = "split") -> DataFrame:
-    """Exact shares of a seeded shuffle. Bounds are found in a histogram of the hash; only the bins that hold a bound are ranked."""
+    """Exact shares of a seeded shuffle. The hash and key of the last row of each part are looked up in histograms, and
+    every row is labelled by comparing its own with them: no row is shuffled or ranked outside the bins of these ends."""
     n = df.count()
-    hashed = df.withColumn("_h", seeded(F.col(key), seed=seed)).withColumn("_b", F.shiftright("_h", 40).cast("int"))
-    sizes = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    bins = sizes.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    ends, at, label = [], 0.0, None
+    hashed = df.withColumn("_h", seeded(F.col(key), seed=seed))
+    at, label = 0.0, None
     for name, share in parts[:-1]:
         at += share
-        ends.append((name, int(n * at + 1e-9)))
-    for name, end in ends:
-        label = F.when(F.col("_p") <= end, name) if label is None else label.when(F.col("_p") <= end, name)
+        end = min(n, int(n * at + 1e-9))
+        if not end:
+            continue
+        h, last = _last_ranked(hashed.select("_h", key), key, end)
+        inside = (F.col("_h") < h) | ((F.col("_h") == h) & (F.col(key) <= F.lit(last)))
+        label = F.when(inside, name) if label is None else label.when(inside, name)
     label = F.lit(parts[-1][0]) if label is None else label.otherwise(parts[-1][0])
-    return hashed.join(F.broadcast(bins), "_b").withColumn("_p", place).withColumn(out, label).drop("_h", "_b", "_before", "_p")
+    return hashed.withColumn(out, label).drop("_h")
 
 
 def distinct_top_k(df: DataFrame, group: str, text: str, order: str, k: int) -> DataFrame:

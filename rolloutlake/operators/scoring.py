@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolloutlake.functions import math_answers as ma
 from rolloutlake.functions import text as tx
+from rolloutlake.operators import losses as ls
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -37,6 +39,9 @@ SCORERS = Registry("scorer")
 MANAGERS = Registry("reward manager")
 LOSSES = Registry("policy loss", strict=False)
 
+for _name, _loss in (("vanilla", ls.policy_loss), ("gspo", ls.gspo_loss), ("clip_cov", ls.clip_cov_tokens), ("kl_cov", ls.kl_cov_tokens), ("sppo", ls.sppo_loss)):
+    LOSSES.register(_name)(_loss)
+
 
 @SCORERS.register("hash_answer")
 def hash_scorer(solution: Column, truth: Column) -> Column:
@@ -59,6 +64,29 @@ def final_scorer(solution: Column, truth: Column) -> Column:
     return F.when(tx.normal_final_answer(tx.answer_line(tx.tail(solution, 300))) == tx.normal_final_answer(truth), 1.0).otherwise(-1.0)
 
 
+@SCORERS.register("strict_box")
+def strict_box_scorer(solution: Column, truth: Column) -> Column:
+    """Plus or minus one by the last box of the last 100 characters, compared as text."""
+    return F.when(ma.boxed_udf(tx.tail(solution, 100)) == truth, 1.0).otherwise(-1.0)
+
+
+@SCORERS.register("math")
+def math_scorer(solution: Column, truth: Column) -> Column:
+    return ma.math_score_udf(solution, truth)
+
+
+@SCORERS.register("geometry")
+def geometry_scorer(solution: Column, truth: Column) -> Column:
+    """0.9 for a right answer in a box and 0.1 for a reply that thinks before it boxes."""
+    return 0.9 * ma.math_score_udf(solution, truth) + 0.1 * tx.think_format(solution).cast("double")
+
+
+@SCORERS.register("character_count")
+def count_scorer(solution: Column, truth: Column) -> Column:
+    """1 if the last box holds just the truth."""
+    return F.coalesce((ma.boxed_udf(solution) == truth).cast("double"), F.lit(0.0))
+
+
 @SCORERS.register("question_answer")
 def qa_scorer(solution: Column, truth: Column) -> Column:
     return tx.qa_score(tx.answer_tag(solution), F.array(truth), solution)

@@ -1,11 +1,13 @@
 """Similarity within groups, medoid, density and cluster rewards, and retrieval over embeddings or an inverted index.
 
-Vectors are array columns. Dot products stay in the JVM. Rows of a group meet by an equi-join on the group: groups
-are the rollouts of one prompt. Retrieval takes a bounded set of queries against all rows in one pass.
+Vectors are array columns. The rows of a group meet as matrix products of blocks, so that a group may have any size.
+Retrieval takes a stated set of queries, in blocks, against all rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,27 +33,81 @@ def unit(df: DataFrame, vector: str, out: str = "unit") -> DataFrame:
     return df.withColumn(out, F.transform(vector, lambda x: F.when(n > 1e-12, x.cast("double") / n).otherwise(0.0)))
 
 
+#: Rows of a group that meet as one matrix product; larger groups are cut into blocks of about this size.
+BLOCK = 512
+
+
+def _block_products(df: DataFrame, group: str, key: str, vector: str, read: Callable[..., pd.DataFrame], schema: str, band: str | None = None) -> DataFrame:
+    """``read(keys, bands, other keys, other bands, similarities)`` of every pair of blocks of every group; a row's own cell is nan.
+
+    A group of any size is cut into blocks by a hash of the key, and each pair of blocks is one task's matrix product, so
+    that no task holds more than two blocks.
+    """
+    u = unit(df, vector).select(group, key, "unit", (F.col(band) if band else F.lit(0)).alias("_band"))
+    blocks = u.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
+    placed = u.join(blocks, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_k")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    rows = placed.select(group, key, "unit", "_band", F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.lit(True).alias("_left"))
+    rows = rows.unionByName(placed.select(group, key, "unit", "_band", F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.lit(False).alias("_left")))
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        left, right = part[part["_left"]], part[~part["_left"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in [group, *names]})
+        sim = np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
+        a, b = left[key].to_numpy(), right[key].to_numpy()
+        sim[a[:, None] == b[None, :]] = np.nan
+        out = read(a, left["_band"].to_numpy(), b, right["_band"].to_numpy(), sim)
+        out.insert(0, group, part[group].iloc[0])
+        return out
+
+    kind = df.schema[group].dataType.simpleString()
+    return rows.groupBy(group, "_i", "_j").applyInPandas(run, f"{group} {kind}, {schema}")
+
+
 def group_pairs(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """(group, key, other, sim) for all ordered pairs of different rows of a group; vectors are made unit vectors once."""
-    u = unit(df, vector).select(group, key, "unit")
-    other = u.select(group, F.col(key).alias("other"), F.col("unit").alias("_v"))
-    return u.join(other, group).where(F.col(key) != F.col("other")).select(group, key, "other", dot(F.col("unit"), F.col("_v")).alias("sim"))
+    """(group, key, other, sim) for all ordered pairs of different rows of a group."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def read(a, _, b, __, sim):
+        i, j = np.nonzero(~np.isnan(sim))
+        return pd.DataFrame({key: a[i], "other": b[j], "sim": sim[i, j]})
+
+    return _block_products(df, group, key, vector, read, f"{key} {kind}, other {kind}, sim double")
+
+
+def pair_stats(df: DataFrame, group: str, key: str, vector: str, band: str | None = None, tau: float = 0.2) -> DataFrame:
+    """(group, key) with sums over the other rows of the group: ``n``, ``total`` and ``top`` of the similarity, ``close``
+    (above 0.95), ``dense`` (exp((sim - 1) / tau)), and ``n_same``, ``same``, ``n_apart``, ``apart`` within and across bands."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def read(a, own, _, other, sim):
+        here = ~np.isnan(sim)
+        value, alike = np.where(here, sim, 0.0), own[:, None] == other[None, :]
+        return pd.DataFrame({
+            key: a, "n": here.sum(1), "total": value.sum(1), "top": np.where(here, sim, -np.inf).max(1), "close": (value > 0.95).sum(1), "dense": np.where(here, np.exp((value - 1) / tau), 0.0).sum(1),
+            "n_same": (here & alike).sum(1), "same": np.where(alike, value, 0.0).sum(1), "n_apart": (here & ~alike).sum(1), "apart": np.where(alike, 0.0, value).sum(1),
+        })
+
+    schema = f"{key} {kind}, n long, total double, top double, close long, dense double, n_same long, same double, n_apart long, apart double"
+    sums = [F.sum(c).alias(c) for c in ("n", "total", "close", "dense", "n_same", "same", "n_apart", "apart")]
+    found = _block_products(df, group, key, vector, read, schema, band).groupBy(group, key).agg(F.max("top").alias("top"), *sums)
+    return found.where("n > 0")
 
 
 def medoid(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """Per group the row with the largest mean similarity to the others (smallest key on ties) and pair statistics."""
-    pairs = group_pairs(df, group, key, vector)
-    means = pairs.groupBy(group, key).agg(F.avg("sim").alias("m"), F.max("sim").alias("_x"), F.sum((F.col("sim") > 0.95).cast("long")).alias("_c"), F.count(F.lit(1)).alias("_k"))
+    means = pair_stats(df, group, key, vector).withColumn("m", F.col("total") / F.col("n"))
     return means.groupBy(group).agg(
-        F.max_by(key, F.struct(F.round("m", 9), -F.col(key))).alias("medoid"), F.avg("m").alias("mean_sim"), F.max("_x").alias("max_sim"), (F.sum("_c") / F.sum("_k")).alias("share_close")
+        F.max_by(key, F.struct(F.round("m", 9), -F.col(key))).alias("medoid"), F.avg("m").alias("mean_sim"), F.max("top").alias("max_sim"), (F.sum("close") / F.sum("n")).alias("share_close")
     )
 
 
 def density_rewards(df: DataFrame, group: str, key: str, vector: str, tau: float = 0.2) -> DataFrame:
     """Mean of exp((cos - 1) / tau) over the other rows, over the group's largest."""
-    pairs = group_pairs(df, group, key, vector)
-    raw = pairs.groupBy(group, key).agg(F.avg(F.exp((F.col("sim") - 1) / tau)).alias("density"))
-    return raw.withColumn("reward", F.col("density") / F.max("density").over(Window.partitionBy(group)))
+    raw = pair_stats(df, group, key, vector, tau=tau).select(group, key, (F.col("dense") / F.col("n")).alias("density"))
+    most = raw.groupBy(group).agg(F.max("density").alias("_m"))
+    return raw.join(most, group).select(group, key, "density", (F.col("density") / F.col("_m")).alias("reward"))
 
 
 def anchor_rewards(df: DataFrame, anchors: DataFrame, group: str, key: str, vector: str) -> DataFrame:
@@ -145,9 +201,9 @@ def binary_cluster_reward(cluster: Column, modal: Column) -> Column:
 
 def banded_rewards(df: DataFrame, group: str, key: str, band: str, vector: str) -> DataFrame:
     """Novelty 1 - half the mean similarity within the band - half the group's maximum, scaled per band: the largest band to [0.5, 1], others to [-1, -0.5]."""
-    pairs = group_pairs(df, group, key, vector).join(df.select(group, key, band), [group, key]).join(df.select(group, F.col(key).alias("other"), F.col(band).alias("_b")), [group, "other"])
-    per = pairs.groupBy(group, key, band).agg(F.avg(F.when(F.col(band) == F.col("_b"), F.col("sim"))).alias("intra"), F.max("sim").alias("top"))
-    nov = per.withColumn("novelty", 1 - 0.5 * F.coalesce("intra", F.lit(0.0)) - 0.5 * F.col("top"))
+    stats = pair_stats(df, group, key, vector, band).join(df.select(group, key, band), [group, key])
+    intra = F.when(F.col("n_same") > 0, F.col("same") / F.col("n_same")).otherwise(0.0)
+    nov = stats.select(group, key, band, (1 - 0.5 * intra - 0.5 * F.col("top")).alias("novelty"))
     w = Window.partitionBy(group, band)
     lo, hi = F.min("novelty").over(w), F.max("novelty").over(w)
     scaled = nov.withColumn("u", F.when(hi - lo > 1e-12, (F.col("novelty") - lo) / (hi - lo)).otherwise(0.5)).withColumn("size", F.count(F.lit(1)).over(w))
@@ -157,9 +213,9 @@ def banded_rewards(df: DataFrame, group: str, key: str, band: str, vector: str)
 
 def cluster_stats(df: DataFrame, group: str, key: str, band: str, vector: str) -> DataFrame:
     """Mean similarity of pairs within one band and across bands; a row is never paired with itself."""
-    pairs = group_pairs(df, group, key, vector).join(df.select(group, key, band), [group, key]).join(df.select(group, F.col(key).alias("other"), F.col(band).alias("_b")), [group, "other"])
-    same = F.col(band) == F.col("_b")
-    return pairs.groupBy(group).agg(F.avg(F.when(same, F.col("sim"))).alias("intra_sim"), F.avg(F.when(~same, F.col("sim"))).alias("inter_sim"))
+    stats = pair_stats(df, group, key, vector, band)
+    mean = lambda total, n: F.try_divide(F.sum(total), F.sum(n))
+    return stats.groupBy(group).agg(mean("same", "n_same").alias("intra_sim"), mean("apart", "n_apart").alias("inter_sim"))
 
 
 def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query: str = "q_id", vector: str = "embedding", query_vector: str = "q_vec") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +97,34 @@ def pair_preferences(df: DataFrame, index: str, score: str) -> DataFrame:
     """Adjacent rows are a pair; the higher score wins, the first row wins ties."""
     pair = Window.partitionBy("pair").orderBy(F.col(score).desc(), index)
     return df.withColumn("pair", F.floor(F.col(index) / 2)).withColumn("preferred", F.row_number().over(pair) == 1)
+
+
+#: Largest number of different answers of one group that are compared with each other.
+MOST_ANSWERS = 20_000
+
+
+def equivalence_votes(df: DataFrame, group: str, order: str, answer: str, same: Callable[[str, str], bool]) -> DataFrame:
+    """(group, representative, votes) of greedy classes: an answer joins the first class whose representative it equals.
+
+    Copies of an answer are counted before they are gathered, so a group with very many rows is as small as the number
+    of its different answers; beyond MOST_ANSWERS of these it is refused. Answers come in the order of their first
+    row; null answers have no vote.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    counted = df.where(F.col(answer).isNotNull()).groupBy(group, F.col(answer).cast("string").alias("_a")).agg(F.min(order).alias("_o"), F.count(F.lit(1)).alias("_n"))
+
+    def classes(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > MOST_ANSWERS:
+            raise ValueError("too many different answers in one group")
+        heads: list[str] = []
+        votes: list[int] = []
+        for a, n in part.sort_values("_o")[["_a", "_n"]].itertuples(index=False):
+            at = next((k for k, head in enumerate(heads) if head == a or same(head, a)), None)
+            if at is None:
+                heads.append(a)
+                votes.append(n)
+            else:
+                votes[at] += n
+        return pd.DataFrame({group: part[group].iloc[0], "representative": heads, "votes": votes})
+
+    return counted.groupBy(group).applyInPandas(classes, f"{group} {kind}, representative string, votes long")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rolloutlake.functions import math_answers as ma
@@ -11,6 +10,7 @@ from rolloutlake.operators import builders as bd
 from rolloutlake.operators import scoring as sc
 from rolloutlake.sources import readers as rd
 from rolloutlake.sources import sinks as sk
+from rolloutlake.sources.shared import shared_path
 from rolloutlake.streaming import state as st
 
 C = F.col
@@ -24,17 +24,27 @@ train, sanity, math1, docs, events, amc, orders, lineitem = (t(n) for n in ("tra
 
 
 def _packed(method, equal=False):
+    """Sums of every user's bins, lightest first, beside what tells a packing: number and size of the items."""
+
     def run(s, d):
         rows = events(s, d).select("user_id", "event_id", (C("event_id") % 97 + 3).alias("len"))
+        k = 2 if equal else 4
+        if equal:
+            rows = bl.padded(rows, "user_id", "event_id", "len", k)
+        bins = bl.balanced(rows, "user_id", "event_id", "len", k, equal, method).groupBy("user_id", "bin").agg(F.sum("len").alias("total"), F.count("*").alias("n"))
         if equal:
-            rows = rows.where("event_id % 1 = 0").withColumn("k", F.count("*").over(Window.partitionBy("user_id"))).where("k % 2 = 0").drop("k")
-        b = bl.balanced(rows, "user_id", "event_id", "len", 2 if equal else 4, equal, method)
-        return b.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+            return bins.groupBy("user_id").agg(F.max("n").alias("most"), F.min("n").alias("least"), F.sum("total").alias("total"), (F.max("total") - F.min("total") <= 100).alias("balanced"))
+        return bins.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("total")), lambda x: x.cast("string")), ",").alias("sums"))
 
     return run
 
 
-PACKED = "SELECT user_id, count(*) AS n, CAST(sum(event_id % 97 + 3) AS BIGINT) AS total FROM events GROUP BY 1"
+#: Items in the order of their key, each to the lightest of four bins (the first of equally light ones), bin by bin.
+GREEDY = """WITH RECURSIVE e AS (SELECT user_id, event_id % 97 + 3 AS len, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  p AS (SELECT user_id, 0 AS k, [0, 0, 0, 0] AS s FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT p.user_id, CAST(e.k AS INTEGER), list_transform([1, 2, 3, 4], lambda i: s[i] + CASE WHEN i = list_position(s, list_min(s)) THEN CAST(e.len AS INTEGER) ELSE 0 END) FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)
+  SELECT user_id, array_to_string(list_sort(list_filter(arg_max(s, k), lambda x: x > 0)), ',') AS sums FROM p GROUP BY 1"""
+EQUAL = """SELECT user_id, CAST((count(*) + 1) // 2 AS BIGINT) AS most, CAST((count(*) + 1) // 2 AS BIGINT) AS least, CAST(sum(event_id % 97 + 3) AS BIGINT) AS total, true AS balanced FROM events GROUP BY 1"""
 
 
 def _imbalance(s, d):
@@ -83,18 +93,33 @@ NOVELTY = """WITH e AS (SELECT vec_id, label, row_number() OVER (PARTITION BY la
 
 def _written(s, d):
     """Rollouts written as JSON lines by step and read back."""
-    import tempfile
-    import uuid
-
-    path = tempfile.mkdtemp(prefix="rolloutlake-sink-") if s.sparkContext.master.startswith("local[") else f"{s.conf.get('spark.checkpoint.dir')}/sink-{uuid.uuid4().hex}"
-    sk.rollouts_by_step(events(s, d).select((C("event_id") % 4).alias("step"), "event_id", "event_type", "value"), f"file://{path}" if path.startswith("/") else path)
+    path = shared_path(s, "sink")
+    sk.rollouts_by_step(events(s, d).select((C("event_id") % 4).alias("step"), "event_id", "event_type", "value"), path)
     return s.read.json(path).groupBy("step").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
+_LOGGED = "SELECT doc_id FROM documents ORDER BY CAST('0x' || substr(md5('42:' || doc_id), 1, 13) AS BIGINT), doc_id LIMIT 20"
+
+#: Longest common subsequence by bits: a word's mask has a bit for each of its places in the candidate.
+_W = "string_split_regex(trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' ')"
+ROUGE_L = f"""WITH t AS (SELECT row_id, list_filter({_W.format("prompt")}, lambda w: w <> '') AS r, list_filter({_W.format("answer")}, lambda w: w <> '') AS c FROM sanity),
+  m AS (SELECT row_id, len(r) AS nr, len(c) AS nc, list_transform(r, lambda w: list_sum(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i] = w THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END))) AS masks FROM t),
+  v AS (SELECT row_id, nr, nc, CASE WHEN nr = 0 OR nc = 0 THEN NULL ELSE list_reduce(list_prepend((CAST(1 AS HUGEINT) << CAST(nc AS HUGEINT)) - 1, list_transform(masks, lambda x: CAST(x AS HUGEINT))), lambda v, x: ((v + (v & x)) | (v - (v & x))) & ((CAST(1 AS HUGEINT) << CAST(nc AS HUGEINT)) - 1)) END AS v FROM m)
+  SELECT row_id, round(CASE WHEN v IS NULL THEN 0 ELSE 2.0 * (nc - bit_count(v)) / (nr + nc) END, 6) AS x FROM v"""
+_GRAMS = " UNION ALL ".join(f"SELECT row_id, {n} AS n, side, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) AS g FROM t" for n in (1, 2, 3, 4))
+BLEU = f"""WITH s AS (SELECT row_id, list_filter(string_split_regex(coalesce(prompt, ''), '\\s+'), lambda w: w <> '') AS r, list_filter(string_split_regex(coalesce(answer, ''), '\\s+'), lambda w: w <> '') AS c FROM sanity),
+  t AS (SELECT row_id, 'r' AS side, r AS w FROM s UNION ALL SELECT row_id, 'c', c FROM s), g AS (SELECT row_id, n, side, g, count(*) AS k FROM ({_GRAMS}) GROUP BY ALL),
+  h AS (SELECT c.row_id, c.n, sum(least(c.k, coalesce(r.k, 0))) AS hit, sum(c.k) AS n_c FROM (FROM g WHERE side = 'c') c LEFT JOIN (FROM g WHERE side = 'r') r USING (row_id, n, g) GROUP BY 1, 2),
+  p AS (SELECT row_id, CASE WHEN min(hit) = 0 THEN 0 ELSE exp(avg(ln(greatest(hit, 1) / n_c))) END AS p FROM h GROUP BY 1)
+  SELECT s.row_id, round(CASE WHEN len(r) = 0 OR len(c) = 0 THEN 0 ELSE coalesce(p, 0) * CASE WHEN len(c) >= len(r) THEN 1 ELSE exp(1 - len(r) / len(c)) END END, 6) AS x FROM s LEFT JOIN p USING (row_id)"""
+REPETITION = """WITH u AS (SELECT DISTINCT props AS t FROM events WHERE props IS NOT NULL), s AS (SELECT t, length(t) AS n, unnest(list_transform(range(1, length(t) + 1), lambda i: t[i:])) AS x FROM u WHERE length(t) > 1),
+  l AS (SELECT t, n, x, lag(x) OVER (PARTITION BY t ORDER BY x) AS y FROM s), c AS (SELECT t, n, sum(CASE WHEN y IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[1:i] = y[1:i])) END) AS k FROM l GROUP BY 1, 2)
+  SELECT event_id, round(coalesce(2.0 * k / (n * (n + 1)), 0), 6) AS x FROM events LEFT JOIN c ON props = t"""
+
 CATALOG = {
-    "pack_differencing": (_packed(bl.differencing), PACKED),
-    "pack_greedy": (_packed(bl.greedy), PACKED),
-    "pack_equal_size": (_packed(bl.differencing, True), "SELECT user_id, count(*) AS n, CAST(sum(event_id % 97 + 3) AS BIGINT) AS total FROM events GROUP BY 1 HAVING count(*) % 2 = 0"),
+    "pack_differencing": (_packed(bl.differencing), None),
+    "pack_greedy": (_packed(bl.greedy), GREEDY),
+    "pack_equal_size": (_packed(bl.differencing, True), EQUAL),
     "pack_imbalance": (
         _imbalance,
         "SELECT user_id, CAST(min(s) AS BIGINT) AS least, CAST(max(s) AS BIGINT) AS most, CAST(max(s) - min(s) AS BIGINT) AS spread FROM (SELECT user_id, event_id % 5 AS b, sum(event_id % 97 + 3) AS s FROM events GROUP BY 1, 2) GROUP BY 1",
@@ -152,7 +177,7 @@ CATALOG = {
         "SELECT user_id, 'a' AS key, max(value) AS value FROM events GROUP BY 1 UNION ALL SELECT user_id, 'b', CAST(count(*) AS DOUBLE) FROM events GROUP BY 1",
     ),
     "sink_dump_category": (lambda s, d: sk.dump_records(sanity(s, d).select("row_id", F.lower("question_type").alias("category")).where("category rlike '^[a-z ]*$'")), "SELECT row_id, array_to_string(list_transform(string_split(trim(lower(question_type)), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS category FROM sanity WHERE regexp_matches(lower(question_type), '^[a-z ]*$')"),
-    "sink_logged_samples": (lambda s, d: sk.logged_samples(docs(s, d).select("doc_id", "text"), "text", 20).agg(F.count("*").alias("n")), "SELECT CAST(20 AS BIGINT) AS n"),
+    "sink_logged_samples": (lambda s, d: sk.logged_samples(docs(s, d).select("doc_id", "text"), "doc_id", 20).select("doc_id"), _LOGGED),
     "state_adaptive_kl": (
         _kl,
         """WITH s AS (SELECT event_id % 50 AS step, avg(value / 1000) AS kl, count(*) AS n FROM events GROUP BY 1)
@@ -169,10 +194,13 @@ CATALOG = {
         lambda s, d: st.last_user_reply(events(s, d).withColumn("role", F.when(C("event_type") == "view", "user").otherwise("assistant")), "user_id", "event_id", "role", "props"),
         "SELECT user_id, '#### ' || arg_max(props, event_id) AS reply FROM events WHERE event_type = 'view' GROUP BY 1",
     ),
-    "math_boxed": (lambda s, d: math1(s, d).select("row_id", ma.boxed_udf("solution").alias("x")), "SELECT row_id, list_extract(regexp_extract_all(solution, '\\\\boxed\\{([^{}]*)\\}', 1), -1) AS x FROM math_l1_ttt"),
-    "math_score": (lambda s, d: math1(s, d).select("row_id", ma.math_score_udf("solution", "answer").alias("x")), None),
-    "math_normal": (lambda s, d: math1(s, d).select("row_id", ma.normal_math_udf("answer").alias("x")), None),
-    "text_rouge_l": (lambda s, d: sanity(s, d).select("row_id", ma.rouge_l_udf("prompt", "answer").alias("x")), None),
-    "text_sentence_bleu": (lambda s, d: sanity(s, d).select("row_id", ma.bleu_udf("prompt", "answer").alias("x")), None),
-    "text_repetition": (lambda s, d: math1(s, d).select("row_id", ma.repetition_udf("solution").alias("x")), None),
+    "math_boxed": (lambda s, d: math1(s, d).select("row_id", ma.boxed_udf("solution").alias("x")), "SELECT row_id, list_extract(regexp_extract_all(solution, '\\\\boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}', 1), -1) AS x FROM math_l1_ttt"),
+    "math_score": (
+        lambda s, d: math1(s, d).select("row_id", ma.math_score_udf("solution", "answer").alias("x")),
+        "SELECT row_id, CAST(coalesce(trim(replace(list_extract(regexp_extract_all(solution, '\\\\boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}', 1), -1), ',', '')) = trim(replace(answer, ',', '')), false) AS DOUBLE) AS x FROM math_l1_ttt",
+    ),
+    "math_normal": (lambda s, d: math1(s, d).select("row_id", ma.normal_math_udf("answer").alias("x")), "SELECT row_id, replace(answer, ' ', '') AS x FROM math_l1_ttt"),
+    "text_rouge_l": (lambda s, d: sanity(s, d).select("row_id", F.round(ma.rouge_l_udf("prompt", "answer"), 6).alias("x")), ROUGE_L),
+    "text_sentence_bleu": (lambda s, d: sanity(s, d).select("row_id", F.round(ma.bleu_udf("prompt", "answer"), 6).alias("x")), BLEU),
+    "text_repetition": (lambda s, d: events(s, d).select("event_id", F.round(ma.repetition_udf(C("props")), 6).alias("x")), REPETITION),
 }

@@ -42,6 +42,13 @@ def _arrays(s, d):
     return s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
 
 
+def _reordered(s, d):
+    """All rows in reverse."""
+    rows = indexed(s, d)
+    n = rows.count()
+    return frame.reorder(rows, rows.select("row_idx", (n - 1 - F.col("row_idx")).alias("new_idx"))).select("row_idx", "event_id")
+
+
 CATALOG = {
     "frame_index": (lambda s, d: indexed(s, d).select("event_id", "row_idx"), f"SELECT event_id, row_idx FROM {I}"),
     "frame_select_idx": (
@@ -72,8 +79,8 @@ CATALOG = {
         f"SELECT row_idx // 64 AS batch_no, count(*) AS n, max(event_id) AS last_id FROM {I} GROUP BY 1",
     ),
     "frame_reorder": (
-        lambda s, d: frame.reorder(indexed(s, d).where("row_idx < 6"), [3, 1, 5, 0, 2, 4]).select("row_idx", "event_id"),
-        f"SELECT p.pos AS row_idx, i.event_id FROM (VALUES (0, 3), (1, 1), (2, 5), (3, 0), (4, 2), (5, 4)) p(pos, k) JOIN {I} i ON i.row_idx = p.k",
+        _reordered,
+        "SELECT row_number() OVER (ORDER BY event_id DESC) - 1 AS row_idx, event_id FROM events",
     ),
     "frame_repeat_interleave": (
         lambda s, d: frame.repeat_rows(indexed(s, d), 3).select("row_idx", "event_id", "copy"),

@@ -44,13 +44,10 @@ def _search(s, d):
 
 def _scan_json(s, d):
     """The same rows through JSON lines and through Parquet."""
-    import tempfile
-    import uuid
-
     from rolloutlake.sources.readers import read_any
+    from rolloutlake.sources.shared import shared_path
 
-    local = s.sparkContext.master.startswith("local[")
-    path = (tempfile.mkdtemp(prefix="rolloutlake-scan-") if local else f"{s.conf.get('spark.checkpoint.dir')}/scan-{uuid.uuid4().hex}") + "/rows.jsonl"
+    path = shared_path(s, "scan") + "/rows.jsonl"
     amc(s, d).select("row_id", "prompt", "answer").write.mode("overwrite").json(path)
     return read_any(s, [path, f"{d}/math_l1_ttt.parquet"]).groupBy(F.col("unique_id").isNull().alias("flat")).agg(F.count("*").alias("n"), F.count("solution").alias("solutions"))
 
@@ -72,10 +69,10 @@ CATALOG = {
     "msg_test_cases": (lambda s, d: events(s, d).select("event_id", ms.test_cases_udf(F.when(C("event_id") % 2 == 0, "[1, 2]").otherwise("gASV")).alias("x")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[1, 2]' END AS x FROM events"),
     "read_json_and_parquet": (_scan_json, "SELECT flat, count(*) AS n, count(solution) AS solutions FROM (SELECT true AS flat, NULL AS solution FROM amc_ttt UNION ALL SELECT unique_id IS NULL, solution FROM math_l1_ttt) GROUP BY 1"),
     "adv_process_rloo": (
-        lambda s, d: ms.process_rloo(token_rows(s, d).withColumn("g", C("seq") % 400), "g", "seq", "pos", "r", "m").select("seq", "pos", F.round("advantage", 6).alias("advantage")),
-        f"""WITH t AS (SELECT *, seq % 400 AS g FROM {TOK}), p AS (SELECT g, seq, sum(r * m) / greatest(sum(m), 1) AS x FROM t GROUP BY 1, 2),
+        lambda s, d: ms.process_rloo(token_rows(s, d).withColumn("g", C("seq") % 400).withColumn("r", C("r") * 1.0137373), "g", "seq", "pos", "r", "m").select("seq", "pos", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage")),
+        f"""WITH t AS (SELECT * REPLACE (r * 1.0137373 AS r), seq % 400 AS g FROM {TOK}), p AS (SELECT g, seq, sum(r * m) / greatest(sum(m), 1) AS x FROM t GROUP BY 1, 2),
             b AS (SELECT seq, CASE WHEN count(*) OVER w > 1 THEN (sum(x) OVER w - x) / (count(*) OVER w - 1) ELSE 0 END AS b FROM p WINDOW w AS (PARTITION BY g))
-            SELECT seq, pos, round(sum((r - b) * m) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS advantage FROM t JOIN b USING (seq)""",
+            SELECT seq, pos, round(sum((r - b) * m) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS advantage FROM t JOIN b USING (seq)""",
     ),
     "loss_detached_contrast": (
         lambda s, d: ms.detached_contrast(events(s, d).withColumn("acc", C("event_id") % 2), "user_id", "event_id", "value", "acc", 0.05).select("event_id", F.round("loss", 5).alias("loss")),

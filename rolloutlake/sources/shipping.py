@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="rolloutlake-"), "rolloutlake.zip")
+    folder_ = tempfile.mkdtemp(prefix="rolloutlake-")
+    atexit.register(shutil.rmtree, folder_, ignore_errors=True)
+    path = os.path.join(folder_, "rolloutlake.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, files in os.walk(root):
             for name in files:

@@ -48,6 +48,7 @@ def flatten_config(config: dict, sep: str = "/") -> dict:
     return out
 
 
-def logged_samples(df: DataFrame, text: str, n: int, seed: int = 42) -> DataFrame:
-    """n generations in seeded hash order."""
-    return df.orderBy(F.xxhash64(text, F.lit(seed)), text).limit(n)
+def logged_samples(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n generations in the order of a seeded md5 of their key (a distributed top-n)."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("long")
+    return df.orderBy(draw, key).limit(n)

@@ -82,9 +82,10 @@ def test_frame_golden_cases(spark):
     assert "".join(sorted(r.lab for r in each.collect())) == "aaacc"
     folded = frame.fold(frame.repeat_rows(abc, 2), ["lab"], 2)
     assert labels(frame.unfold(folded, ["lab"])) == "aabbcc"
-    assert labels(frame.reorder(abc, [1, 2, 0])) == "bca"
+    order = lambda *new: spark.createDataFrame(list(enumerate(new)), "row_idx long, new_idx long")
+    assert labels(frame.reorder(abc, order(2, 0, 1))) == "bca"
     with pytest.raises(ValueError):
-        frame.reorder(abc, [0, 0, 1])
+        frame.reorder(abc, order(0, 0, 1))
     with pytest.raises(ValueError):
         frame.chunk(abc, 2)
     with pytest.raises(Exception, match="differs"):
@@ -255,3 +256,77 @@ def test_caption_clean_query_keeps_texts_with_odd_characters(spark, tmp_path):
     got = {r.doc_id: r.x for r in registry.QUERIES["text_caption_clean"](spark, str(tmp_path)).collect()}
     assert [got[k] is None for k in range(4)] == [False, False, False, True]
     assert "hums" in got[1] and "rings" in got[2] and "twice" in got[2]
+
+
+def test_packing_golden_cases():
+    from rolloutlake.operators import balance
+
+    for lengths, k, want in (([5, 5, 4, 3, 3], 2, [9, 11]), ([8, 7, 6, 5, 4], 2, [14, 16]), ([1, 2, 3, 4], 4, [1, 2, 3, 4])):
+        bins = balance.differencing(lengths, k)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert sorted(sum(lengths[i] for i in b) for b in bins) == want
+    equal = balance.differencing([9, 1, 8, 2, 7, 3], 3, equal_size=True)
+    assert [len(b) for b in equal] == [2, 2, 2] and {sum([9, 1, 8, 2, 7, 3][i] for i in b) for b in equal} == {10}
+    with pytest.raises(ValueError):
+        balance.differencing([1, 2, 3], 2, equal_size=True)
+
+
+def test_batches_are_checked(spark):
+    from rolloutlake.operators import batches
+
+    df = batches.from_columns(spark, {"a": [1, 2], "b": ["x", "y"]}, "a long, b string")
+    assert batches.column_kinds(df) == {"row_idx": "tensor", "a": "tensor", "b": "object"}
+    with pytest.raises(ValueError, match="length"):
+        batches.from_columns(spark, {"a": [1, 2], "b": ["x"]}, "a long, b string")
+    with pytest.raises(TypeError):
+        batches.column_kinds(df.withColumn("c", F.current_date()))
+    assert batches.union_meta({"a": 1}, {"a": 1, "b": 2}) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError, match="differ"):
+        batches.union_meta({"a": 1}, {"a": 2})
+    assert batches.inconsistencies(df.withColumn("v", F.array("a")), ["v"]).count() == 0
+    assert {r.column for r in batches.inconsistencies(df.withColumn("v", F.when(F.col("a") == 1, F.array("a"))).where("a = 1 OR a = 2").withColumn("row_idx", F.lit(3)), ["v"]).collect()} == {"v", "row_idx"}
+
+
+def test_guarded_scores_time_out_and_keep_order(spark, tmp_path):
+    import time
+
+    from rolloutlake.operators import guarded
+
+    def slow(x):
+        if x == 2:
+            time.sleep(5)
+        return x
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(4)], "k long, x double")
+    got = {r.k: (r.score, r.error) for r in guarded.guarded_scores(df, "k", ["x"], slow, seconds=1.0).collect()}
+    assert got == {0: (0.0, None), 1: (1.0, None), 2: (0.0, "timeout"), 3: (3.0, None)}
+    (tmp_path / "mine.py").write_text("def score(a, extra=0):\n    return a + extra\n\ndef data(df, n):\n    return df.limit(n)\n\ndef wrong(df):\n    return 3\n")
+    path = str(tmp_path / "mine.py")
+    assert guarded.function_from_file(path, "score", extra=2)(1) == 3
+    assert guarded.user_dataset(path, "data", df, n=2).count() == 2
+    with pytest.raises(TypeError):
+        guarded.user_dataset(path, "wrong", df)
+    with pytest.raises(FileNotFoundError):
+        guarded.function_from_file(path + "x", "score")
+    with pytest.raises(AttributeError):
+        guarded.function_from_file(path, "none")
+    assert {"vanilla", "gspo", "clip_cov", "kl_cov", "sppo"} <= set(guarded.LOSSES.known)
+
+
+def test_interactions_have_unique_names():
+    from rolloutlake.operators import guarded, scoring
+
+    kinds = scoring.Registry("interaction")
+    kinds.register("echo")(lambda times=1: ("echo", times))
+    assert guarded.load_interactions([{"kind": "echo", "config": {"times": 2}}, {"name": "b", "kind": "echo"}], kinds) == {"echo": ("echo", 2), "b": ("echo", 1)}
+    with pytest.raises(ValueError):
+        guarded.load_interactions([{"kind": "echo"}, {"kind": "echo"}], kinds)
+
+
+def test_row_index_of_clustered_keys(spark, monkeypatch):
+    monkeypatch.setattr(frame, "RANGE_ROWS", 0.001)
+    keys = [*range(500), *(10**12 + 7 * k for k in range(300)), 5 * 10**14]
+    df = spark.createDataFrame([(k,) for k in reversed(keys)] + [(None,)], "k long")
+    got = {r.k: r.row_idx for r in frame.with_row_index(df, "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    assert frame.with_row_index(df.limit(0), "k").collect() == []
