@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloutlake.llm import bpe, leaks, minhash, personal, poisson, quotas, radix, replies, segjoin, splits
+from rolloutlake.llm import bpe, leaks, minhash, oracles, personal, poisson, quotas, radix, replies, segjoin, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": segjoin.p3_found,
@@ -33,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_round_trip": bpe.p8_round_trip,
 }
 
-ORACLE: dict[str, str] = {**quotas.ORACLE, **poisson.ORACLE}
+ORACLE: dict[str, str] = {**quotas.ORACLE, **poisson.ORACLE, **oracles.ORACLE}
