@@ -180,3 +180,18 @@ def drop_metrics(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
 
 def label_present(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.length(column) > 0)
+
+
+def without(df: DataFrame, *columns: str) -> DataFrame:
+    """All other columns; a column that is not there is an error."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    return df.drop(*columns)
+
+
+def keep_with_counts(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows where ``keep`` holds (null does not), and one row with total, kept and dropped."""
+    sure = F.coalesce(keep, F.lit(False))
+    counts = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(sure).alias("kept"))
+    return df.where(sure), counts.withColumn("dropped", F.col("total") - F.col("kept"))

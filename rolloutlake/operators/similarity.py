@@ -304,6 +304,6 @@ def hashed_ngrams(df: DataFrame, key: str, text: str, dims: int = 64, n: int = 3
     """Offline stand-in for an encoder: (key, vector) of normalised counts of hashed character n-grams."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
     grams = df.select(key, F.explode(F.transform(starts, lambda i: F.substring(F.lower(text), i, F.lit(n)))).alias("_g"))
-    counts = grams.groupBy(key, F.pmod(F.xxhash64("_g"), F.lit(dims)).cast("int").alias("_d")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    counts = grams.groupBy(key, F.pmod(F.conv(F.substring(F.md5("_g"), 1, 13), 16, 10).cast("long"), F.lit(dims)).cast("int").alias("_d")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_d", "_c"))).alias("_m"), F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_n"))
     return maps.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.col("_m")[d], F.lit(0.0)) / F.col("_n")).alias(out))

@@ -169,7 +169,7 @@ CATALOG = {
     "build_gathered_responses": (lambda s, d: bd.gathered_responses(events(s, d), "user_id", "event_id", "event_type").select("user_id", F.array_join("responses", ",").alias("x")), "SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS x FROM events GROUP BY 1"),
     "read_column_probe": (lambda s, d: train(s, d).select("row_id", rd.first_of(train(s, d), "instruction", "prompt", "question").alias("x")), "SELECT row_id, question AS x FROM train_sanity"),
     "read_lookup": (lambda s, d: rd.lookup(docs(s, d).select("doc_id", "n_chars"), t("eval_items")(s, d).select(C("item_id").alias("doc_id")), "doc_id"), "SELECT doc_id, n_chars FROM documents JOIN eval_items ON doc_id = item_id"),
-    "read_planted_counts": (lambda s, d: rd.planted_counts(s, 500).select("id", (C("n") >= 1).alias("ok")), "SELECT i AS id, true AS ok FROM range(500) r(i)"),
+    "read_planted_counts": (lambda s, d: rd.planted_counts(s, 500).select("id", "word", "letter", "n", "response"), "SELECT i AS id, w AS word, w[1] AS letter, CAST(24 - length(replace(w, w[1], '')) AS INT) AS n, '\\boxed{' || (24 - length(replace(w, w[1], ''))) || '}' AS response FROM (SELECT i, sha256('0:' || i)[1:24] AS w FROM range(500) r(i))"),
     "read_questions": (lambda s, d: rd.questions(docs(s, d).select(C("text").alias("prompt"), C("lang").alias("language"), "doc_id"), "en").select("doc_id"), "SELECT doc_id FROM documents WHERE length(trim(text)) > 0 AND lower(lang) = 'en'"),
     "sink_json_by_step": (_written, "SELECT event_id % 4 AS step, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1"),
     "sink_long_metrics": (

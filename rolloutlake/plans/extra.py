@@ -13,6 +13,9 @@ from rolloutlake.operators import losses as ls
 from rolloutlake.operators import scoring as sc
 from rolloutlake.operators import votes as vt
 from rolloutlake.plans.tokens_plan import TOK, token_rows
+from rolloutlake.sources import readers as rd
+from rolloutlake.sources import sinks as sk
+from rolloutlake.sources.shared import shared_path
 
 C = F.col
 
@@ -178,6 +181,37 @@ def _scores_sql(*values: float) -> str:
     return "SELECT event_id, CAST(CASE event_id % " + str(len(values)) + " " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END AS DOUBLE) AS x FROM events"
 
 
+def _broken(s, d):
+    """Two objects a fragment, fragments one after the other without commas, some of them cut: the first object of each counts."""
+    path = shared_path(s, "broken")
+    k = C("event_id").cast("string")
+    whole = F.concat(F.lit('[{"id": '), k, F.lit(', "v": "a"}, {"id": -1}]'))
+    events(s, d).select(F.when(C("event_id") % 5 == 0, F.concat(F.lit('[{"id": '), k, F.lit(', "v"]'))).otherwise(whole)).write.text(path)
+    return rd.broken_json(s, path, "id BIGINT, v STRING")
+
+
+def _splits_written(s, d):
+    path = shared_path(s, "splits")
+    sk.parquet_splits(events(s, d).select("event_id", "value", C("event_type").alias("split")), path)
+    return s.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _report(s, d):
+    path = shared_path(s, "report")
+    sk.report_csv(events(s, d).groupBy("event_type").agg(F.avg("value").alias("mean"), F.count("*").alias("n")), path, 3)
+    return s.read.option("header", "true").csv(path).select("event_type", C("mean").cast("double").alias("mean"), C("n").cast("long").alias("n"))
+
+
+def _summary(s, d):
+    told = sk.summary_json(events(s, d).groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n")
+    return told.select(F.from_json("json", "n BIGINT, mean DOUBLE, by_key MAP<STRING, BIGINT>").alias("j")).select(C("j.n").alias("kinds"), F.round("j.mean", 4).alias("mean"), F.explode("j.by_key").alias("event_type", "n"))
+
+
+def _changes(s, d):
+    paths = events(s, d).select(F.concat(F.lit("/x/"), C("event_id").cast("string")).alias("path"), "event_id")
+    return rd.listing_changes(paths.where("event_id % 3 <> 0").select("path"), paths.where("event_id % 5 <> 0").select("path"))
+
+
 _LONG = "y" * 400
 
 CATALOG = {
@@ -214,6 +248,11 @@ CATALOG = {
     "score_strict_box": (_scored("strict_box", ["it is \\boxed{12}", "\\boxed{12} " + _LONG, "\\boxed{1} or \\boxed{12}", "12"], "12"), _scores_sql(1, -1, 1, -1)),
     "score_geometry": (_scored("geometry", ["<think> a </think> \\boxed{12}", "\\boxed{12}", "<think> a </think> \\boxed{13}", "12"], "12"), _scores_sql(1.0, 0.9, 0.1, 0.0)),
     "score_characters": (_scored("character_count", ["\\boxed{3}", "\\boxed{4}", "3", "\\boxed{\\text{3}}"], "3"), _scores_sql(1, 0, 0, 0)),
+    "read_broken_json": (_broken, "SELECT event_id AS id, 'a' AS v FROM events WHERE event_id % 5 <> 0"),
+    "read_listing_changes": (_changes, "SELECT '/x/' || event_id AS path, CASE WHEN event_id % 3 = 0 THEN 'added' ELSE 'removed' END AS change FROM events WHERE (event_id % 3 = 0) <> (event_id % 5 = 0)"),
+    "sink_parquet_splits": (_splits_written, "SELECT event_type AS split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1"),
+    "sink_report_csv": (_report, "SELECT event_type, round(avg(value), 3) AS mean, count(*) AS n FROM events GROUP BY 1"),
+    "sink_summary_json": (_summary, "WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT (SELECT count(*) FROM g) AS kinds, (SELECT round(avg(n), 4) FROM g) AS mean, event_type, n FROM g"),
     "build_tagged_transcripts": (
         lambda s, d: events(s, d).select("event_id", ma.transcript_udf(F.concat(F.lit("Let me see <code>print("), C("event_id").cast("string"), F.lit(")</code><interpreter>"), C("event_id").cast("string"), F.lit("</interpreter> so <answer>done</answer>"))).alias("m")).select("event_id", F.array_join(C("m.role"), ",").alias("roles"), F.array_join(C("m.content"), "|").alias("contents")),
         "SELECT event_id, 'assistant,assistant,tool,assistant,assistant' AS roles, 'Let me see|print(' || event_id || ')|' || event_id || '|so|done' AS contents FROM events",

@@ -100,7 +100,7 @@ CATALOG = {
     ),
     "resample_draws": (lambda s, d: sm.weighted_resample(sm.resample_weights(events(s, d), "value"), "weight", 1000, "event_id").agg(F.sum("draws").alias("draws")), "SELECT CAST(1000 AS BIGINT) AS draws"),
     "drop_columns": (
-        lambda s, d: train(s, d).drop("audio_file", "video_file").select("row_id", "question", "answer"),
+        lambda s, d: sm.without(train(s, d), "audio_file", "video_file", "source", "id", "video_id", "question_type", "content_parent_category", "content_fine_category", "split", "batch", "created_at", "ingested_at"),
         "SELECT row_id, question, answer FROM train_sanity",
     ),
     "drop_metric_patterns": (
@@ -108,7 +108,7 @@ CATALOG = {
         "SELECT event_id FROM events WHERE NOT contains(event_type, 'ick') AND NOT contains(event_type, 'log')",
     ),
     "rewrite_with_drop_counts": (
-        lambda s, d: train(s, d).agg(F.count("*").alias("total"), F.count_if(F.col("question").rlike("(?m)^D[.)]")).alias("kept")).withColumn("dropped", F.col("total") - F.col("kept")),
+        lambda s, d: sm.keep_with_counts(train(s, d), F.col("question").rlike("(?m)^D[.)]"))[1],
         "SELECT count(*) AS total, count(*) FILTER (regexp_matches(question, '(?m)^D[.)]')) AS kept, count(*) - count(*) FILTER (regexp_matches(question, '(?m)^D[.)]')) AS dropped FROM train_sanity",
     ),
 }

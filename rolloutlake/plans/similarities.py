@@ -71,6 +71,10 @@ CATALOG = {
         lambda s, d: s.read.parquet(f"{d}/sanity.parquet").select("row_id", sim.length_penalty(C("answer"), 5).alias("x")),
         "SELECT row_id, CAST(CASE WHEN len(list_filter(string_split_regex(trim(answer), '\\s+'), lambda w: w <> '')) >= 5 THEN 1.0 ELSE 0.7 END AS DOUBLE) AS x FROM sanity",
     ),
+    "sim_grade": (
+        lambda s, d: _r(emb(s, d).join(emb(s, d).where("vec_id = 0").select(C("embedding").alias("z")), F.lit(True)).select("vec_id", sim.similarity_grade(C("embedding"), C("z")).alias("x")), "x"),
+        f"SELECT a.vec_id, round(greatest(least({DOT}, 1), 0), 5) AS x FROM {E} a, (SELECT * FROM {E} WHERE vec_id = 0) b",
+    ),
     "reward_banded_novelty": (
         lambda s, d: _r(sim.banded_rewards(_banded(s, d), "label", "vec_id", "band", "embedding"), "reward", digits=4),
         f"""WITH p AS (SELECT label, vec_id, band, avg(sim) FILTER (band = band2) AS i, max(sim) AS t FROM {BAND} GROUP BY 1, 2, 3), n AS (SELECT *, 1 - 0.5 * coalesce(i, 0) - 0.5 * t AS v FROM p),
@@ -103,7 +107,9 @@ CATALOG = {
     ),
     "pool_first": (lambda s, d: _r(sim.pooled(emb(s, d), "label", "vec_id", "embedding", "cls").select("label", C("pooled")[0].alias("x")), "x"), "SELECT label, round(arg_min(embedding, vec_id)[1], 5) AS x FROM embeddings GROUP BY 1"),
     "encode_distinct_texts": (
-        lambda s, d: sim.encode_distinct(s.read.parquet(f"{d}/amc_ttt.parquet").where("prompt IS NOT NULL").select("row_id", "prompt"), "prompt", lambda t: sim.hashed_ngrams(t, "_k", "text")).select("row_id", F.size("vector").alias("dims")),
-        "SELECT row_id, 64 AS dims FROM amc_ttt WHERE prompt IS NOT NULL",
+        lambda s, d: _r(sim.encode_distinct(s.read.parquet(f"{d}/amc_ttt.parquet").where("prompt IS NOT NULL").select("row_id", "prompt"), "prompt", lambda t: sim.hashed_ngrams(t, "_k", "text")).select("row_id", F.posexplode("vector").alias("dim", "x")).where("x > 0"), "x", digits=6),
+        """WITH g AS (SELECT DISTINCT prompt FROM amc_ttt WHERE prompt IS NOT NULL), n AS (SELECT prompt, unnest(list_transform(range(1, greatest(length(prompt) - 2, 1) + 1), lambda i: substr(lower(prompt), i, 3))) AS g FROM g),
+            c AS (SELECT prompt, CAST(CAST('0x' || substr(md5(g), 1, 13) AS BIGINT) % 64 AS INT) AS dim, count(*) AS c FROM n GROUP BY 1, 2), v AS (SELECT prompt, dim, c / sqrt(sum(c * c) OVER (PARTITION BY prompt)) AS x FROM c)
+            SELECT row_id, dim, round(x, 6) AS x FROM amc_ttt JOIN v USING (prompt)""",
     ),
 }

@@ -110,8 +110,9 @@ CATALOG = {
     "score_judge_digit": (q(sanity, "row_id", x=lambda: tx.judge_digit(C("answer"))), "SELECT row_id, TRY_CAST(regexp_extract(answer, '\\b(10|[0-9])\\b', 1) AS INT) / 10.0 AS x FROM sanity"),
     "score_verdict": (q(docs, "doc_id", x=lambda: tx.verdict(C("text"))), "SELECT doc_id, CAST(CASE regexp_extract(text, '\\[\\[(A>>B|A>B|A=B|B>A|B>>A)\\]\\]', 1) WHEN 'A>>B' THEN 1.0 WHEN 'A>B' THEN 0.5 WHEN 'A=B' THEN 0.0 WHEN 'B>A' THEN -0.5 WHEN 'B>>A' THEN -1.0 END AS DOUBLE) AS x FROM documents"),
     "text_options": (
-        lambda s, d: train(s, d).where("question IS NOT NULL").select("row_id", F.explode(tx.option_texts(C("question"))).alias("letter", "option")).groupBy("letter").agg(F.count("*").alias("n")),
-        "SELECT letter, count(*) AS n FROM (SELECT unnest(regexp_extract_all(question, '(?m)^[ \\t]*\\(?([A-D])[.):][ \\t]*(.+?)[ \\t]*$', 1)) AS letter, unnest(regexp_extract_all(question, '(?m)^[ \\t]*\\(?([A-D])[.):][ \\t]*(.+?)[ \\t]*$', 2)) AS o FROM train_sanity) GROUP BY 1",
+        lambda s, d: train(s, d).where("question IS NOT NULL").select("row_id", F.explode(tx.option_texts(C("question"))).alias("letter", "option")),
+        """WITH o AS (SELECT row_id, regexp_extract_all(replace(question, chr(13), ''), '(?m)^[ \\t]*\\(?([A-D])[.):][ \\t]*(.+?)[ \\t]*$', 1) AS l, regexp_extract_all(replace(question, chr(13), ''), '(?m)^[ \\t]*\\(?([A-D])[.):][ \\t]*(.+?)[ \\t]*$', 2) AS o FROM train_sanity)
+            SELECT row_id, unnest(l) AS letter, unnest(o) AS option FROM o""",
     ),
     "text_question_stem": (
         q(train, "row_id", x=lambda: tx.question_stem(C("question"))),

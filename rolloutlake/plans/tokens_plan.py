@@ -138,9 +138,15 @@ CATALOG = {
         lambda s, d: flat(arrays(s, d).where(F.size("id") >= 2).select("seq", *tk.sft_pack(F.slice("id", 1, 1), F.expr("slice(id, 2, size(id) - 1)"), 5)).select("seq", F.col("loss_mask").alias("x")), "x"),
         f"SELECT seq, p AS pos, CAST(p < least(n, 5) - 1 AS INT) AS x FROM (SELECT seq, count(*) AS n FROM {TOK} GROUP BY 1 HAVING count(*) >= 2), range(5) r(p)",
     ),
+    "tok_sft_ids": (
+        lambda s, d: flat(arrays(s, d).where(F.size("id") >= 2).select("seq", *tk.sft_pack(F.slice("id", 1, 1), F.expr("slice(id, 2, size(id) - 1)"), 5)).select("seq", F.col("input_ids").cast("array<bigint>").alias("x")), "x"),
+        f"SELECT seq, p AS pos, CAST(coalesce(id, 0) AS BIGINT) AS x FROM (SELECT DISTINCT seq FROM {TOK} WHERE pos = 1), range(5) r(p) LEFT JOIN (SELECT seq AS s2, pos, id FROM {TOK}) t ON t.s2 = seq AND t.pos = p",
+    ),
     "tok_marker_bounds": (
-        lambda s, d: arrays(s, d).select("seq", F.size(tk.marker_bounds(F.transform("id", lambda x: (x % 3).cast("int")), 0, 1)).alias("pairs")),
-        f"SELECT seq, CAST(greatest(count(*) FILTER (id % 3 = 0), count(*) FILTER (id % 3 = 1)) AS INT) AS pairs FROM {TOK} GROUP BY 1",
+        lambda s, d: arrays(s, d).select("seq", F.array_join(F.transform(tk.marker_bounds(F.transform("id", lambda x: (x % 3).cast("int")), 0, 1), lambda b: F.concat(F.coalesce(b["s"].cast("string"), F.lit("-")), F.lit(":"), F.coalesce(b["e"].cast("string"), F.lit("-")))), ",").alias("pairs")),
+        f"""WITH m AS (SELECT seq, CAST(pos AS VARCHAR) AS p, id % 3 AS k, row_number() OVER (PARTITION BY seq, id % 3 ORDER BY pos) AS i FROM {TOK}),
+            z AS (SELECT coalesce(a.seq, b.seq) AS seq, coalesce(a.i, b.i) AS i, coalesce(a.p, '-') || ':' || coalesce(b.p, '-') AS x FROM (FROM m WHERE k = 0) a FULL JOIN (FROM m WHERE k = 1) b ON a.seq = b.seq AND a.i = b.i)
+            SELECT t.seq, coalesce(string_agg(x, ',' ORDER BY i), '') AS pairs FROM (SELECT DISTINCT seq FROM {TOK}) t LEFT JOIN z ON z.seq = t.seq GROUP BY 1""",
     ),
     "loss_token_mean": (lambda s, d: ls.aggregate_loss(token_rows(s, d), "seq", "adv", "m").select(F.round("loss", 6).alias("loss")), f"SELECT round(sum(adv * m) / (sum(m) + 1e-8), 6) AS loss FROM {TOK}"),
     "loss_seq_mean_token_sum": (lambda s, d: ls.aggregate_loss(token_rows(s, d), "seq", "adv", "m", "seq-mean-token-sum").select(F.round("loss", 6).alias("loss")), f"SELECT round(avg(x), 6) AS loss FROM (SELECT sum(adv * m) AS x FROM {TOK} GROUP BY seq)"),
@@ -161,8 +167,8 @@ CATALOG = {
     "loss_kl_cov": (lambda s, d: ls.kl_cov_tokens(token_rows(s, d).withColumn("key", F.concat_ws("-", "seq", "pos")), "key", "new", "adv", "m", 0.02).agg(F.count("*").alias("n"), F.round(F.sum("cov"), 5).alias("total")),
         f"""WITH u AS (SELECT * FROM {TOK} WHERE m = 1), c AS (SELECT round((adv - (SELECT avg(adv) FROM u)) * (new - (SELECT avg(new) FROM u)), 9) AS cov FROM u)
             SELECT count(*) AS n, round(sum(cov), 5) AS total FROM (SELECT cov, row_number() OVER (ORDER BY cov DESC) AS k, count(*) OVER () AS n FROM c) WHERE k <= floor(n * 0.02)"""),
-    "loss_clip_cov_candidates": (lambda s, d: ls.clip_cov_candidates(token_rows(s, d), "new", "adv", "m", 0.001, 0.01).agg(F.count("*").alias("n")),
-        f"WITH u AS (SELECT * FROM {TOK} WHERE m = 1), c AS (SELECT (adv - (SELECT avg(adv) FROM u)) * (new - (SELECT avg(new) FROM u)) AS cov FROM u) SELECT count(*) AS n FROM c WHERE cov > 0.001 AND cov < 0.01"),
+    "loss_clip_cov_candidates": (lambda s, d: ls.clip_cov_candidates(token_rows(s, d), "new", "adv", "m", 0.001, 0.01).select("seq", "pos"),
+        f"WITH u AS (SELECT * FROM {TOK} WHERE m = 1), c AS (SELECT seq, CAST(pos AS INT) AS pos, round((adv - (SELECT avg(adv) FROM u)) * (new - (SELECT avg(new) FROM u)), 9) AS cov FROM u) SELECT seq, pos FROM c WHERE cov > 0.001 AND cov < 0.01"),
     "loss_value": (
         lambda s, d: ls.value_loss(token_rows(s, d), "v", "r", "adv", "m", 0.2).select(F.round("vf_loss", 6).alias("vf_loss"), F.round("clip_frac", 6).alias("clip_frac")),
         f"""WITH a AS (SELECT *, (v - r) ** 2 AS p, (greatest(least(v, adv + 0.2), adv - 0.2) - r) ** 2 AS q FROM {TOK})
