@@ -152,3 +152,46 @@ def test_overlaps_of_a_hot_text_and_of_short_texts_equal_brute_force(spark):
     got = {(r.e_id, r.t_id) for r in segjoin.overlaps(df).collect()}
     want = {(a[0], b[0]) for a in rows for b in rows if a[2] == "test" and b[2] == "train" and near(a[1], b[1])}
     assert got == want and len(want) > 40
+
+
+@pytest.mark.parametrize(("many", "few"), [(12, 5), (11, 4), (12, 6), (12, 9), (20, 15)])
+def test_template_texts_with_few_words_of_their_own(spark, many, few):
+    """Twenty pairs that share a template of frequent words and differ in how many words of their own they have."""
+    name = lambda head, *ks: head + "".join(chr(97 + int(d)) for k in ks for d in f"{k:02d}")
+    template = [name("f", k) for k in range(26)]
+    rows = []
+    for k in range(20):
+        own = [name("r", k, j) for j in range(many)]
+        rows += [(2 * k, " ".join(template + own), "train", "s"), (2 * k + 1, " ".join(template + own[:few]), "test", "s")]
+    rows += [(100 + k, " ".join(template[: k % 20] + [name("z", k, j) for j in range(25)]), "train", "s") for k in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, text string, split string, source string")
+    assert {(r.e_id, r.t_id) for r in segjoin.overlaps(df).collect()} == {(2 * k + 1, 2 * k) for k in range(20)}
+    got = {r.row_id: r.first_id for r in minhash.similar_groups(df).collect()}
+    # The template alone links the shorter texts where it makes up enough of them.
+    linked = 26 / (26 + 2 * few) >= 0.7
+    assert got == {i: i if i >= 40 else 0 if linked else i - i % 2 for i, *_ in rows}
+
+
+def test_segments_of_a_skewed_vocabulary_find_every_pair(spark, monkeypatch):
+    """Sets of Zipfian words of very different sizes, without numbers: all are cut, whichever side is the larger."""
+    monkeypatch.setattr(segjoin, "CROWDED", 2)
+    rng = random.Random(12)
+    words = ["".join(chr(97 + int(d)) for d in str(k)) for k in range(600)]
+    texts = []
+    for k in range(500):
+        if texts and rng.random() < 0.6:
+            base = list(rng.choice(texts))
+            for _ in range(rng.randrange(1, 2 + len(base) // 4)):
+                if rng.random() < 0.5 and len(base) > 1:
+                    base.pop(rng.randrange(len(base)))
+                else:
+                    base.insert(rng.randrange(len(base) + 1), words[min(599, int(rng.paretovariate(0.7)) - 1)])
+        else:
+            base = [words[min(599, int(rng.paretovariate(0.7)) - 1)] for _ in range(rng.choice([1, 2, 3, 6, 15, 40, 80]))]
+        texts.append(base)
+    for share in (0.2, 0.8):
+        rows = [(k, " ".join(t), "test" if rng.random() < share else "train", "s") for k, t in enumerate(texts)]
+        sets = [set(r[1].split()) for r in rows]
+        want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if rows[i][2] == "test" and rows[j][2] == "train" and len(a & b) * 10 >= 7 * len(a | b)}
+        got = {(r.e_id, r.t_id) for r in segjoin.overlaps(spark.createDataFrame(rows, "row_id long, text string, split string, source string")).collect()}
+        assert got == want and len(want) > 200
