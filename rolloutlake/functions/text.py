@@ -1,15 +1,21 @@
-"""Answer extraction and normalisation as column expressions (JVM side, no Python per row)."""
+"""Answer extraction and normalisation as column expressions (JVM side; unigram scores count in Arrow batches)."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that do not count as content words.
 STOP_WORDS = (
-    "the and for are but not you with this that from have has was were they them their his her hers its into than then there what "
-    "when where which who why how all any can could would should will shall may might must did does done doing been being very too"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "with", "this", "that", "from", "have", "has", "was", "were", "they", "them", "their", "his",
+    "her", "hers", "its", "into", "than", "then", "there", "what", "when", "where", "which", "who", "why", "how", "all", "any", "can", "could",
+    "would", "should", "will", "shall", "may", "might", "must", "did", "does", "done", "doing", "been", "being", "very", "too",
+)
 
 #: Fixed values of the final-answer normaliser: replacements, then removals, in this order.
 SUBSTITUTIONS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
@@ -19,6 +25,9 @@ REMOVED = [
     "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
 ]
 
+#: White space of every kind, the wide and thin blanks of Unicode included.
+SPACES = r"[\s\p{Z}\x1c-\x1f\x85]+"
+
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -159,7 +168,7 @@ def interval_brackets(text: Column) -> Column:
 def qa_normal(text: Column) -> Column:
     """Lower case, no punctuation, no articles, single blanks, in this order."""
     bare = F.translate(F.lower(text), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), SPACES, " "))
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
@@ -233,8 +242,8 @@ def caption_clean(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Trimmed, lower case, single blanks."""
-    return F.regexp_replace(F.lower(strip(text)), r"\s+", " ")
+    """Trimmed, lower case, single blanks; white space of every kind counts."""
+    return F.trim(F.regexp_replace(F.lower(text), SPACES, " "))
 
 
 def word_tokens(text: Column) -> Column:
@@ -242,7 +251,7 @@ def word_tokens(text: Column) -> Column:
 
 
 def content_words(tokens: Column, least: int = 3) -> Column:
-    return F.filter(tokens, lambda t: (F.length(t) >= least) & ~t.isin(STOP_WORDS))
+    return F.filter(tokens, lambda t: (F.length(t) >= least) & ~t.isin(list(STOP_WORDS)))
 
 
 def keyword_hit(reference: Column, candidate: Column) -> Column:
@@ -252,10 +261,20 @@ def keyword_hit(reference: Column, candidate: Column) -> Column:
 
 def bleu1(reference: Column, candidate: Column) -> Column:
     """Clipped unigram precision times the brevity penalty; 0 for empty sides."""
-    r, c = word_tokens(reference), word_tokens(candidate)
-    clipped = F.aggregate(F.array_distinct(c), F.lit(0), lambda acc, t: acc + F.least(F.size(F.filter(c, lambda x: x == t)), F.size(F.filter(r, lambda x: x == t))))
-    penalty = F.when(F.size(c) >= F.size(r), 1.0).otherwise(F.exp(1 - F.size(r) / F.size(c)))
-    return F.when((F.size(r) == 0) | (F.size(c) == 0), 0.0).otherwise(clipped / F.size(c) * penalty)
+
+    @F.pandas_udf(T.DoubleType())
+    def run(references: pd.Series, candidates: pd.Series) -> pd.Series:
+        return pd.Series([_unigrams(r, c) for r, c in zip(references, candidates)])
+
+    return run(word_tokens(reference), word_tokens(candidate))
+
+
+def _unigrams(r, c) -> float:
+    if not len(r) or not len(c):
+        return 0.0
+    have = Counter(r)
+    clipped = sum(min(n, have[w]) for w, n in Counter(c).items())
+    return clipped / len(c) * (1.0 if len(c) >= len(r) else math.exp(1 - len(r) / len(c)))
 
 
 def code_block(text: Column) -> Column:

@@ -42,11 +42,17 @@ def bootstrap(values: np.ndarray, subset: int, reducers, n_bootstrap: int = 1000
     return [(float(table[:, j].mean()), float(table[:, j].std())) for j in range(len(reducers))]
 
 
+#: Most rows of a group that is resampled in one task.
+MOST_RESAMPLED = 1_000_000
+
+
 def bootstrap_groups(df: DataFrame, group: str, order: str, value: str, subset: int, n_bootstrap: int = 1000, seed: int = 42) -> DataFrame:
-    """Bootstrap of max and min per group; groups are rollouts of one prompt, so they are small."""
+    """Bootstrap of max and min per group (the rollouts of one prompt); groups of more than MOST_RESAMPLED rows are refused."""
     kind = df.schema[group].dataType.simpleString()
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > MOST_RESAMPLED:
+            raise ValueError("group too large to resample")
         values = part.sort_values(order)[value].to_numpy(float)
         (bm, bs), (wm, ws) = bootstrap(values, subset, (np.max, np.min), n_bootstrap, seed)
         return pd.DataFrame([(key[0], bm, bs, wm, ws)], columns=[group, "best_mean", "best_std", "worst_mean", "worst_std"])

@@ -165,11 +165,18 @@ def silhouette(vectors: np.ndarray, labels: np.ndarray) -> float:
     return float(np.mean(out))
 
 
+#: Most rows of a group that are clustered at once (its silhouette compares all pairs).
+MOST_CLUSTERED = 5_000
+
+
 def auto_kmeans(df: DataFrame, group: str, key: str, vector: str, most: int = 4) -> DataFrame:
-    """(group, key, cluster): k from 2 to ``most`` with the best silhouette; groups of up to two rows are singletons."""
+    """(group, key, cluster): k from 2 to ``most`` with the best silhouette; groups of up to two rows are singletons, and
+    groups of more than MOST_CLUSTERED rows are refused."""
     gk, kk = df.schema[group].dataType.simpleString(), df.schema[key].dataType.simpleString()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > MOST_CLUSTERED:
+            raise ValueError("group too large to cluster")
         part = part.sort_values(key)
         v = np.array(part["unit"].tolist(), float)
         labels = np.arange(len(v))

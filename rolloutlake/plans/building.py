@@ -160,7 +160,7 @@ CATALOG = {
         lambda s, d: bd.conversations(events(s, d), "user_id", "event_id", "event_type", "props").select("user_id", F.size("messages").alias("n"), C("messages")[0]["content"].alias("first")),
         "SELECT user_id, CAST(count(*) AS INT) AS n, arg_min(props, event_id) AS first FROM events GROUP BY 1",
     ),
-    "build_shuffled_choices": (lambda s, d: train(s, d).select("row_id", *bd.shuffled_choices(C("row_id"), F.lit("right"), F.array(F.lit("w1"), F.lit("w2"), F.lit("w3")))).select("row_id", F.size("options").alias("n"), (F.array_position("options", "right") == F.locate("letter", F.lit("ABCD"))).alias("ok")), None),
+    "build_shuffled_choices": (lambda s, d: train(s, d).select("row_id", *bd.shuffled_choices(C("row_id"), F.lit("right"), F.array(F.lit("w1"), F.lit("w2"), F.lit("w3")))).select("row_id", F.size("options").alias("n"), (F.array_position("options", "right") == F.expr("instr('ABCD', letter)")).alias("ok"), F.array_join(F.array_sort("options"), ",").alias("all")), "SELECT row_id, 4 AS n, true AS ok, 'right,w1,w2,w3' AS all FROM train_sanity"),
     "build_judge_prompt": (
         lambda s, d: sanity(s, d).select("row_id", F.md5(bd.judge_prompt(F.lit("q"), F.lit(None).cast("string"), C("id"), 7)).alias("x")),
         "SELECT row_id, md5('Question:' || chr(10) || 'q' || chr(10) || chr(10) || 'Reference:' || chr(10) || '[empty]' || chr(10) || chr(10) || 'Candidate:' || chr(10) || coalesce(nullif(left(trim(coalesce(id, '')), 7), ''), '[empty]') || chr(10) || chr(10) || 'Score (0-10):') AS x FROM sanity",

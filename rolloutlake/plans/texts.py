@@ -47,11 +47,10 @@ def _minerva_sql(x: str) -> str:
     return f"replace({x}, '$', '')"
 
 
-ASCII = "regexp_replace(prompt, '[^ -~]', '', 'g')"
 
 
 def qa(column: str) -> str:
-    return "trim(regexp_replace(regexp_replace(translate(lower(" + column + "), " + lit_sql(tx.PUNCTUATION) + ", ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return "trim(regexp_replace(regexp_replace(translate(lower(" + column + "), " + lit_sql(tx.PUNCTUATION) + ", ''), '\\b(a|an|the)\\b', ' ', 'g'), '[\\s\\x0b\\x1c-\\x1f\\p{Z}\\x{85}]+', ' ', 'g'))"
 WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{Nd}}_]+')"
 STOP = "[" + ", ".join(lit_sql(w) for w in tx.STOP_WORDS) + "]"
 STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
@@ -92,7 +91,7 @@ CATALOG = {
         q(events, "event_id", x=lambda: tx.interval_brackets(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Interval", "Interval.open", "Interval.Lopen", "Interval.Ropen")]), (C("event_id") % 4 + 1).cast("int")), F.lit("(1, 2)")))),
         "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[1, 2]' WHEN 1 THEN '(1, 2)' WHEN 2 THEN '(1, 2]' ELSE '[1, 2)' END AS x FROM events",
     ),
-    "text_qa_normal": (q(amc, "row_id", x=lambda: tx.qa_normal(F.regexp_replace("prompt", "[^ -~]", ""))), f"SELECT row_id, {qa(ASCII)} AS x FROM amc_ttt"),
+    "text_qa_normal": (q(amc, "row_id", x=lambda: tx.qa_normal(C("prompt"))), f"SELECT row_id, {qa('prompt')} AS x FROM amc_ttt"),
     "score_exact_match": (q(train, "row_id", x=lambda: tx.exact_match(C("answer"), F.array(F.lit("The B!"), F.lit("c.")))), f"SELECT row_id, {qa('answer')} IN ('b', 'c') AS x FROM train_sanity"),
     "score_contains": (q(amc, "row_id", x=lambda: tx.contains_match(C("prompt"), F.array(F.lit("How many"), F.lit("the remainder")))), f"SELECT row_id, contains({qa('prompt')}, 'how many') OR contains({qa('prompt')}, 'remainder') AS x FROM amc_ttt"),
     "text_answer_tag": (q(sanity, "row_id", x=lambda: tx.answer_tag(F.concat(F.lit("<answer>x</answer> <answer> "), C("answer"), F.lit("\n</answer>")))), f"SELECT row_id, {STRIP.format('answer')} AS x FROM sanity"),
@@ -120,7 +119,7 @@ CATALOG = {
     ),
     "text_format_options": (q(events, "event_id", x=lambda: tx.format_options(F.array(C("event_type"), C("user_id").cast("string"), F.lit("x")))), "SELECT event_id, 'A. ' || event_type || chr(10) || 'B. ' || user_id || chr(10) || 'C. x' AS x FROM events"),
     "text_caption_clean": (q(docs, "doc_id", x=lambda: tx.caption_clean(C("text"))), None),
-    "text_squeeze": (q(amc, "row_id", x=lambda: tx.squeeze(F.regexp_replace("prompt", "[^ -~]", ""))), f"SELECT row_id, regexp_replace(lower({STRIP.format('regexp_replace(prompt, ' + lit_sql('[^ -~]') + ', ' + lit_sql('') + ', ' + lit_sql('g') + ')')}), '\\s+', ' ', 'g') AS x FROM amc_ttt"),
+    "text_squeeze": (q(amc, "row_id", x=lambda: tx.squeeze(C("prompt"))), "SELECT row_id, trim(regexp_replace(lower(prompt), '[\\s\\x0b\\x1c-\\x1f\\p{Z}\\x{85}]+', ' ', 'g')) AS x FROM amc_ttt"),
     "text_word_tokens": (q(sanity, "row_id", x=lambda: F.array_join(tx.word_tokens(C("answer")), " ")), f"SELECT row_id, array_to_string({WORDS.format('answer')}, ' ') AS x FROM sanity"),
     "text_content_words": (q(sanity, "row_id", x=lambda: F.array_join(tx.content_words(tx.word_tokens(C("answer"))), " ")), f"SELECT row_id, array_to_string(list_filter({WORDS.format('answer')}, lambda w: length(w) >= 3 AND NOT list_contains({STOP}, w)), ' ') AS x FROM sanity"),
     "score_keyword_hit": (q(sanity, "row_id", x=lambda: tx.keyword_hit(C("answer"), C("prompt"))), f"SELECT row_id, CAST(len(list_filter(list_filter({WORDS.format('answer')}, lambda w: length(w) >= 3 AND NOT list_contains({STOP}, w)), lambda w: NOT list_contains({WORDS.format('prompt')}, w))) = 0 AS DOUBLE) AS x FROM sanity"),
