@@ -1,13 +1,17 @@
 """Connected components by random-mate contraction, in SQL joins over the shared folder.
 
 Every round each vertex draws a coin by a hash of (round, vertex). A tail with a head neighbour collapses into the
-smallest such neighbour, and so does a leaf whose neighbour is a head; edges are renamed, loops and repeats vanish. Rounds go on until no edge is left. The
-collapses of the rounds are then unwound, last round first, into one label per vertex. Expected rounds grow with
-the logarithm of the number of vertices; nothing is collected but counts.
+smallest such neighbour, and so does a leaf whose neighbour is a head; edges are renamed, loops and repeats vanish. Rounds go on until hardly an edge is left. The
+collapses of the rounds are then unwound, last round first, into one label per vertex. The last FEW edges are finished
+in one task instead of in many tiny rounds. Expected rounds grow with the logarithm of the number of vertices; nothing is
+collected but counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,36 @@ def _head(column: str, round_: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(round_), F.col(column)), F.lit(8)) < (4 if round_ % 2 else 7)
 
 
+#: Edges that are finished in one task when no more are left.
+FEW = 2_000
+
+
+def _rest(edges: DataFrame) -> DataFrame:
+    """(vertex, root) of at most FEW edges, worked out in one task: the smallest vertex of each component is its root."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        column = None
+        for batch in batches:
+            column = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+        if parent:
+            vertices = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(vertices, column), pa.array([find(v) for v in vertices], column)], names=["vertex", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, f"vertex {kind}, root {kind}")
+
+
 def random_mate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(vertex, root) of every vertex on an edge (a, b); vertices alike within a component share their root.
 
@@ -29,9 +63,13 @@ def random_mate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         lo, hi = F.least("a", "b"), F.greatest("a", "b")
         return e.where("a <> b").select(lo.alias("a"), hi.alias("b")).distinct()
 
+    labels = None
     told = now = common.written(clean(edges.where("a IS NOT NULL AND b IS NOT NULL")), "edges")
     rounds: list[DataFrame] = []
-    while not now.isEmpty():
+    while left_over := now.count():
+        if left_over <= FEW:
+            labels = common.written(_rest(now), "labels")
+            break
         if len(rounds) >= max_rounds:
             raise RuntimeError("contraction did not end")
         k = len(rounds)
@@ -47,13 +85,15 @@ def random_mate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         now = common.written(clean(right), "edges")
     # Unwind: in the last round mates are roots; in the rounds before, a mate's root is looked up.
     names = told.select(F.col("a").alias("vertex")).unionByName(told.select(F.col("b").alias("vertex"))).distinct()
-    if not rounds:
-        return names.select("vertex", F.col("vertex").alias("root"))
-    labels = rounds[-1].select("vertex", F.col("mate").alias("root"))
-    for collapse in reversed(rounds[:-1]):
+    for collapse in reversed(rounds):
+        if labels is None:
+            labels = collapse.select("vertex", F.col("mate").alias("root"))
+            continue
         later = labels.withColumnsRenamed({"vertex": "mate", "root": "later"})
         here = collapse.join(later, "mate", "left").select("vertex", F.coalesce("later", "mate").alias("root"))
         labels = common.written(labels.unionByName(here), "labels")
+    if labels is None:
+        return names.select("vertex", F.col("vertex").alias("root"))
     return names.join(labels, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"))
 
 
@@ -67,6 +107,8 @@ def min_label(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
     now = common.written(pairs(edges.where("a IS NOT NULL AND b IS NOT NULL")), "links")
+    if now.count() <= FEW:
+        return common.written(_rest(now), "labels")
     names = now.select(F.col("a").alias("vertex")).unionByName(now.select(F.col("b").alias("vertex"))).distinct()
     before = (-1, -1)
     for _ in range(max_rounds):

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from rolloutlake.llm import components, leaks, poisson, quotas, splits
 
 
@@ -24,7 +26,9 @@ def brute(edges):
     return {frozenset(g) for g in groups.values()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 20, 2000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(3)
     edges = [(f"v{rng.randrange(60)}", f"v{rng.randrange(60)}") for _ in range(45)] + [(f"p{k}", f"p{k + 1}") for k in range(12)]
     edges = [(a, b) for a, b in edges if a != b]
