@@ -149,31 +149,32 @@ def _scan_back(parts: list[pd.Series], start: int, step: Callable[..., tuple[np.
 
     ``state`` has ``start`` numbers per array, the first of which is what comes out. Null arrays give null.
     """
+    columns = [p.to_numpy() for p in parts]
     there = np.flatnonzero(np.logical_and.reduce([p.notna().to_numpy() for p in parts]))
-    out: list = [None] * len(parts[0])
-    sizes = np.array([len(parts[0].iloc[i]) for i in there], np.int64)
-    order = there[np.argsort(-sizes, kind="stable")]
+    out = np.full(len(parts[0]), None, object)
+    sizes = np.fromiter((len(columns[0][i]) for i in there), np.int64, len(there))
+    order = np.argsort(-sizes, kind="stable")
     at = 0
     while at < len(order):
-        longest = max(1, len(parts[0].iloc[order[at]]))
-        rows = order[at : at + max(1, 2_000_000 // longest)]
-        at += len(rows)
-        n = np.array([len(parts[0].iloc[i]) for i in rows])
+        longest = max(1, int(sizes[order[at]]))
+        taken = order[at : at + max(1, 2_000_000 // longest)]
+        at += len(taken)
+        rows, n = there[taken], sizes[taken]
+        inside = np.arange(longest) < n[:, None]
         mats = []
-        for p in parts:
+        for c in columns:
             m = np.zeros((len(rows), longest))
-            for r, i in enumerate(rows):
-                m[r, : n[r]] = p.iloc[i]
+            m[inside] = np.concatenate(c[rows])
             mats.append(m)
         result = np.zeros((len(rows), longest))
         state = tuple(np.zeros(len(rows)) for _ in range(start))
         for t in range(longest - 1, -1, -1):
-            live = n > t
             new = step(state, tuple(m[:, t] for m in mats))
             result[:, t] = new[0]
-            state = tuple(np.where(live, x, 0.0) for x in new[1:])
-        for r, i in enumerate(rows):
-            out[i] = result[r, : n[r]]
+            state = tuple(np.where(inside[:, t], x, 0.0) for x in new[1:])
+        ends = np.cumsum(n)[:-1]
+        for i, values in zip(rows, np.split(result[inside], ends)):
+            out[i] = values
     return pd.Series(out, dtype=object)
 
 
