@@ -19,7 +19,7 @@ class; repeated rows are copies. Whole texts are used; extra columns are not rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +128,8 @@ def heavy_bands(sets: DataFrame) -> DataFrame:
 
 
 def band_rows(sets: DataFrame, heavy: dict[int, int], signed: bool) -> DataFrame:
-    """(band, salt, cid, sketch, n) for every set and band; rows of heavy bands are salted. Unsigned sets have one band."""
+    """(key, heavy, cid, sketch, n) for every set and band. The key is the band, or for a heavy band, of which ``heavy`` is the
+    number, counted from 1 in the order of all heavy bands, a hash of band and salt. Unsigned sets have one band."""
     known = np.array(sorted(heavy), np.int64)
     salts = np.array([heavy[k] for k in sorted(heavy)], np.int64)
 
@@ -140,95 +141,93 @@ def band_rows(sets: DataFrame, heavy: dict[int, int], signed: bool) -> DataFrame
                 sketch, n = _sketches(part)
                 times = keys.shape[1]
                 cid = np.repeat(np.asarray(part.column(0)), times)
-                band = keys.ravel()
-                salt = np.zeros(len(band), np.int32)
+                key = keys.ravel().copy()
+                number = np.zeros(len(key), np.int32)
                 if signed and len(known):
-                    where = np.minimum(np.searchsorted(known, band), len(known) - 1)
-                    hit = known[where] == band
+                    where = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    hit = known[where] == key
                     with np.errstate(over="ignore"):
                         spread = _mix(cid[hit].astype(np.uint64)) % salts[where[hit]].astype(np.uint64)
-                    salt[hit] = spread.astype(np.int32)
+                        key[hit] = _mix(key[hit].view(np.uint64) ^ _mix(spread + np.uint64(1))).view(np.int64)
+                    number[hit] = where[hit] + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(band), pa.array(salt), pa.array(cid), pa.array(np.repeat(sketch, times)), pa.array(np.repeat(n, times).astype(np.int32))], names=["band", "salt", "cid", "sketch", "n"]
+                    [pa.array(key), pa.array(number), pa.array(cid), pa.array(np.repeat(sketch, times)), pa.array(np.repeat(n, times).astype(np.int32))], names=["key", "heavy", "cid", "sketch", "n"]
                 )
 
-    return sets.mapInArrow(run, "band long, salt int, cid long, sketch long, n int")
+    return sets.mapInArrow(run, "key long, heavy int, cid long, sketch long, n int")
 
 
-def _read_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates from rows sorted by band, salt and class.
+def _band_reader(heavy: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads rows sorted by key into candidates.
 
-    Bands of up to HOT members give their alike pairs (hot false). Of larger ones every member comes out beside the
+    Keys of up to HOT members give their alike pairs (hot false). Of larger ones every member comes out beside the
     first (hot true), with the sketch test of the two (like); the rows pass through, so memory is bounded by a batch and HOT rows.
     """
-    hot_limit = HOT
+    bands, hot_limit = np.array(heavy, np.int64), HOT
     names = ["hot", "band", "a", "b", "sketch", "n", "like"]
-    empty = [np.zeros(0, np.int64)] * 5
-    held, lead, hot = empty, (0, 0, 0), False  # the unfinished run: its rows (until it is hot), class, sketch and size of its first, whether it is hot
 
-    def pairs(band, cid, sketch, n):
-        out_a, out_b = [], []
+    def pairs(cols):
+        """Alike pairs, smaller class first, of runs of up to HOT rows."""
+        key, _, cid, sketch, n = cols
+        out = [np.zeros((2, 0), np.int64)]
         for gap in range(1, hot_limit):
-            same = band[:-gap] == band[gap:] if gap < len(band) else np.zeros(0, bool)
-            same_salt = salt_now[:-gap] == salt_now[gap:] if gap < len(band) else same
-            at = np.flatnonzero(same & same_salt)
+            at = np.flatnonzero(key[:-gap] == key[gap:]) if gap < len(key) else key[:0]
             if not len(at):
                 break
             at = at[alike(sketch[at], sketch[at + gap], n[at] + n[at + gap])]
-            out_a.append(cid[at])
-            out_b.append(cid[at + gap])
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
+            out.append(np.sort(np.stack([cid[at], cid[at + gap]]), axis=0))
+        return np.concatenate(out, axis=1)
 
     def record(is_hot, band, a, b, sketch, n, like):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_hot)), pa.array(band), pa.array(a), pa.array(b), pa.array(sketch), pa.array(n), pa.array(like)], names=names)
 
     def beside(cols, first):
-        """Rows of hot runs beside class, sketch and size of their first."""
-        band, _, cid, sketch, n = cols
+        """Rows of hot runs, with their band, beside class, sketch and size of their first."""
+        key, number, cid, sketch, n = cols
+        band = np.where(number > 0, bands[np.maximum(number - 1, 0)], key) if len(bands) else key
         a, b, c = (np.broadcast_to(x, len(cid)) for x in first)
         return record(True, band, cid, a, sketch, n, alike(sketch, b, n + c))
 
     def finish(cols, starts, ends):
         """Whole runs: small ones to pairs, large ones to rows beside their first."""
-        nonlocal salt_now
-        band, salt, cid, sketch, n = cols
         sizes = ends - starts
         small = np.repeat(sizes <= hot_limit, sizes)
-        salt_now = salt[small]
-        a, b = pairs(band[small], cid[small], sketch[small], n[small])
+        a, b = pairs([c[small] for c in cols])
         none = np.zeros(len(a), np.int64)
         yield record(False, none, a, b, none, none, np.ones(len(a), bool))
         if not small.all():
-            yield beside([c[~small] for c in cols], [np.repeat(c[starts], sizes)[~small] for c in (cid, sketch, n)])
-
-    salt_now = np.zeros(0, np.int64)
-    last_key = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.asarray(batch.column(k)).astype(np.int64) for k in range(5)]
-        if hot:
-            # The run that began earlier is hot: pass its rows on as they come.
-            inside = (cols[0] == last_key[0]) & (cols[1] == last_key[1])
-            k = int(inside.sum())
-            yield beside([c[:k] for c in cols], lead)
-            if k == len(inside):
+            yield beside([c[~small] for c in cols], [np.repeat(c[starts], sizes)[~small] for c in cols[2:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The unfinished run: its rows (until it is hot), class, sketch and size of its first, whether it is hot, its key.
+        held, lead, hot, last = [np.zeros(0, np.int64)] * 5, (), False, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cols, hot = [c[k:] for c in cols], False
-        cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-        change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-        starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(cols[0])]])
-        at = starts[-1]
-        if at:
-            yield from finish([c[:at] for c in cols], starts[:-1], ends[:-1])
-        held = [c[at:] for c in cols]
-        last_key = (held[0][0], held[1][0])
-        if len(held[0]) > hot_limit:
-            hot, lead = True, tuple(int(c[0]) for c in held[2:])
-            yield beside(held, lead)
-            held = empty
-    if len(held[0]):
-        yield from finish(held, np.array([0]), np.array([len(held[0])]))
+            cols = [np.asarray(batch.column(k)).astype(np.int64) for k in range(5)]
+            if hot:
+                # The run that began earlier is hot: pass its rows on as they come.
+                k = int((cols[0] == last).sum())
+                yield beside([c[:k] for c in cols], lead)
+                if k == len(cols[0]):
+                    continue
+                cols, hot = [c[k:] for c in cols], False
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            change = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+            starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(cols[0])]])
+            at = starts[-1]
+            if at:
+                yield from finish([c[:at] for c in cols], starts[:-1], ends[:-1])
+            held = [c[at:] for c in cols]
+            last = held[0][0]
+            if len(held[0]) > hot_limit:
+                hot, lead = True, tuple(int(c[0]) for c in held[2:])
+                yield beside(held, lead)
+                held = [c[:0] for c in held]
+        if len(held[0]):
+            yield from finish(held, np.array([0]), np.array([len(held[0])]))
+
+    return run
 
 
 def _alike_columns(a: str, b: str, m: str, n: str):
@@ -253,8 +252,8 @@ def linked(classes: DataFrame) -> DataFrame:
     # At most BANDS / HEAVY bands can hold that share of all sets.
     many = heavy_bands(signed).where(F.col("n") >= HEAVY * classes.count())
     heavy = {r.band: r.n // SALT_ROWS + 1 for r in many.collect()}
-    rows = band_rows(signed, heavy, True).unionByName(band_rows(lone, {}, False)).repartition("band", "salt").sortWithinPartitions("band", "salt", "cid")
-    read = common.written(rows.mapInArrow(_read_bands, "hot boolean, band long, a long, b long, sketch long, n long, like boolean"), "candidates")
+    rows = band_rows(signed, heavy, True).unionByName(band_rows(lone, {}, False)).repartition("key").sortWithinPartitions("key")
+    read = common.written(rows.mapInArrow(_band_reader(sorted(heavy)), "hot boolean, band long, a long, b long, sketch long, n long, like boolean"), "candidates")
     found = read.where("NOT hot").select("a", "b").distinct()
     hot = read.where("hot").select("band", F.col("a").alias("cid"), F.col("b").alias("lead"), "sketch", "n", "like")
     if hot.isEmpty():
