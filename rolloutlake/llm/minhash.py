@@ -36,7 +36,7 @@ PIECE = 128
 PLACES = 1 << 20
 SIMILARITY = 0.7
 #: Largest band that is compared pairwise, and rows per salt of a heavier one.
-HOT = 64
+HOT = 192
 SALT_ROWS = 50_000
 #: Share of all sets from which a band is salted.
 HEAVY = 0.002
