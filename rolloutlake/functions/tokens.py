@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,76 +145,80 @@ def score_at_last(score: Column, mask: Column, response: int) -> Column:
     return F.slice(F.transform(mask, lambda _, i: F.when(i == valid - 1, score).otherwise(F.lit(0.0))), -response, response)
 
 
-def _scan_back(parts: list[pd.Series], start: int, step: Callable[..., tuple[np.ndarray, ...]]) -> pd.Series:
+def _scan_back(parts: list[pa.Array], start: int, step: Callable[..., tuple[np.ndarray, ...]]) -> pa.Array:
     """Runs ``step(state, values)`` from the last position to the first of all arrays of a batch at once; linear in the tokens.
 
     ``state`` has ``start`` numbers per array, the first of which is what comes out. Null arrays give null.
     """
-    columns = [p.to_numpy() for p in parts]
-    there = np.flatnonzero(np.logical_and.reduce([p.notna().to_numpy() for p in parts]))
-    out = np.full(len(parts[0]), None, object)
-    sizes = np.fromiter((len(columns[0][i]) for i in there), np.int64, len(there))
-    order = np.argsort(-sizes, kind="stable")
-    at = 0
+    valid = np.logical_and.reduce([p.is_valid().to_numpy(zero_copy_only=False) for p in parts])
+    firsts = [np.asarray(p.offsets).astype(np.int64)[:-1] for p in parts]
+    values = [np.asarray(p.values.cast(pa.float64()).fill_null(np.nan)) for p in parts]
+    n = np.where(valid, np.diff(np.asarray(parts[0].offsets)), 0).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(ends[-1])
+    order = np.argsort(-n, kind="stable")
+    order, at = order[n[order] > 0], 0
     while at < len(order):
-        longest = max(1, int(sizes[order[at]]))
-        taken = order[at : at + max(1, 2_000_000 // longest)]
-        at += len(taken)
-        rows, n = there[taken], sizes[taken]
-        inside = np.arange(longest) < n[:, None]
+        longest = int(n[order[at]])
+        rows = order[at : at + max(1, 2_000_000 // longest)]
+        at += len(rows)
+        places = np.arange(longest)
+        inside = places < n[rows][:, None]
         mats = []
-        for c in columns:
-            m = np.zeros((len(rows), longest))
-            m[inside] = np.concatenate(c[rows])
+        for first, flat in zip(firsts, values):
+            m = np.zeros(inside.shape)
+            m[inside] = flat[(first[rows][:, None] + places)[inside]]
             mats.append(m)
-        result = np.zeros((len(rows), longest))
+        result = np.zeros(inside.shape)
         state = tuple(np.zeros(len(rows)) for _ in range(start))
         for t in range(longest - 1, -1, -1):
             new = step(state, tuple(m[:, t] for m in mats))
             result[:, t] = new[0]
             state = tuple(np.where(inside[:, t], x, 0.0) for x in new[1:])
-        ends = np.cumsum(n)[:-1]
-        for i, values in zip(rows, np.split(result[inside], ends)):
-            out[i] = values
-    return pd.Series(out, dtype=object)
+        out[(ends[rows][:, None] + places)[inside]] = result[inside]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out), mask=pa.array(~valid))
+
+
+def _doubles(c: Column) -> Column:
+    return c.cast("array<double>")
 
 
 def reverse_cumsum(rewards: Column) -> Column:
     """Suffix sums."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(r: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(r: pa.Array) -> pa.Array:
         return _scan_back([r], 1, lambda s, x: (s[0] + x[0],) * 2)
 
-    return run(F.transform(rewards, lambda x: x.cast("double")))
+    return run(_doubles(rewards))
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted sum that starts again at 0 after masked-out tokens."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(r: pd.Series, m: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(r: pa.Array, m: pa.Array) -> pa.Array:
         def step(s, x):
             total = x[0] + gamma * s[0]
             return total, total * x[1]
 
         return _scan_back([r, m], 1, step)
 
-    return run(F.transform(rewards, lambda x: x.cast("double")), F.transform(mask, lambda x: x.cast("double")))
+    return run(_doubles(rewards), _doubles(mask))
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Advantages A_t = d_t + gamma lam A_(t+1) with d_t = r_t + gamma V_(t+1) - V_t."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(r: pd.Series, v: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(r: pa.Array, v: pa.Array) -> pa.Array:
         def step(s, x):
             a = x[0] + gamma * s[1] - x[1] + gamma * lam * s[0]
             return a, a, x[1]
 
         return _scan_back([r, v], 2, step)
 
-    return run(F.transform(rewards, lambda x: x.cast("double")), F.transform(values, lambda x: x.cast("double")))
+    return run(_doubles(rewards), _doubles(values))
 
 
 def kl_estimate(log_prob: Column, ref: Column, kind: str = "kl") -> Column:

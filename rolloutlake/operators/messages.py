@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolloutlake.functions import tokens as tk
+
 
 def segments(prompt: Column) -> Column:
     """Text and media segments of a prompt: placeholders <image>, <video> and <audio> are segments of their kind; empty ones vanish."""
@@ -50,6 +52,33 @@ def role_mask(df: DataFrame, conversation: str, turn: str, role: str, tokens: st
     return df.select(conversation, turn, F.transform(tokens, lambda _: F.lit(0)).alias("_z"), value.alias("_v")).select(conversation, turn, F.transform("_z", lambda _: F.col("_v")).alias("mask"))
 
 
+#: Most turns of a conversation that become one row.
+MOST_TURNS = 100_000
+
+
+def padded_conversations(df: DataFrame, conversation: str, turn: str, role: str, tokens: str, length: int, pad: int = 0) -> DataFrame:
+    """One row per conversation: input_ids, attention_mask and loss_mask (1 for assistant tokens) of all turns in order, cut or padded on
+    the right to ``length``, and the number of tokens before that. Conversations above MOST_TURNS turns are refused."""
+    known = F.col(role).isin("system", "user", "assistant", "tool")
+    mark = F.when(~known, F.raise_error(F.lit("unknown role")).cast("int")).when(F.col(role) == "assistant", 1).otherwise(0)
+    turns = df.groupBy(conversation).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(tokens).alias("ids"), mark.alias("m")))).alias("_t"), F.count(F.lit(1)).alias("_n"))
+    sure = F.when(F.col("_n") <= MOST_TURNS, F.col("_t")).otherwise(F.raise_error(F.lit("conversation too long")).cast(turns.schema["_t"].dataType))
+    flat = turns.select(conversation, sure.alias("_t")).select(conversation, F.flatten(F.transform("_t", lambda x: x["ids"])).alias("ids"), F.flatten(F.transform("_t", lambda x: F.transform(x["ids"], lambda _: x["m"]))).alias("m"))
+    fit = lambda c, fill: tk.pad_to(F.slice(c, 1, length), length, fill)
+    return flat.select(conversation, F.size("ids").alias("n_tokens"), fit(F.col("ids"), pad).alias("input_ids"), fit(F.transform("ids", lambda _: F.lit(1)), 0).alias("attention_mask"), fit(F.col("m"), 0).alias("loss_mask"))
+
+
+def preference_pack(prompt: Column, chosen: Column, rejected: Column, pad: int = 0) -> list[Column]:
+    """chosen_ids and rejected_ids with the prompt in front, padded on the right to the longer of the two, and their attention masks."""
+    both = [F.concat(prompt, x) for x in (chosen, rejected)]
+    longest = F.greatest(F.size(both[0]), F.size(both[1]))
+    fill = lambda ids, value: F.concat(ids, F.array_repeat(F.lit(value), longest - F.size(ids)))
+    out = []
+    for name, ids in zip(("chosen", "rejected"), both):
+        out += [fill(ids, pad).alias(f"{name}_ids"), fill(F.transform(ids, lambda _: F.lit(1)), 0).alias(f"{name}_mask")]
+    return out
+
+
 def choice_rows(df: DataFrame, context: Column, endings: Column, label: Column) -> DataFrame:
     """Rows with choices and the index of the right one; unlabelled rows are dropped."""
     return df.where(F.length(label) > 0).select(

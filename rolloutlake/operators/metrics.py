@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def best_and_worst(df: DataFrame, groups: list[str], value: str, k: int) -> DataFrame:
+    """(groups, best, worst): expected maximum and minimum of k draws with replacement, in closed form. Nulls do not count.
+
+    Equal values are counted before anything is ordered, so a hot group is as long as the number of its different values;
+    both ends come from one order.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy(*groups)
+    run = counted.withColumn("_c", F.sum("_m").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    share = lambda c: F.pow(c / F.col("_n"), F.lit(k))
+    rows = run.withColumn("_n", F.sum("_m").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    below = F.col("_c") - F.col("_m")
+    best = F.col("_v") * (share(F.col("_c")) - share(below))
+    worst = F.col("_v") * (share(F.col("_n") - below) - share(F.col("_n") - F.col("_c")))
+    return rows.groupBy(*groups).agg(F.sum(best).alias("best"), F.sum(worst).alias("worst"))
+
+
 def best_at_k(df: DataFrame, group: str, value: str, k: int, worst: bool = False, out: str = "best_at_k") -> DataFrame:
-    """Expected maximum (or minimum) of k draws with replacement: sum of v_(i) ((i/n)^k - ((i-1)/n)^k) over the sorted values."""
-    order = F.col(value).desc() if worst else F.col(value).asc()
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    weight = F.pow(F.col("_i") / F.col("_n"), F.lit(k)) - F.pow((F.col("_i") - 1) / F.col("_n"), F.lit(k))
-    return ranked.groupBy(group).agg(F.sum(F.col(value) * weight).alias(out))
+    """Expected maximum (or minimum) of k draws with replacement."""
+    return best_and_worst(df, [group], value, k).select(group, F.col("worst" if worst else "best").alias(out))
 
 
 def k_list(n: int) -> list[int]:
@@ -63,10 +75,7 @@ def bootstrap_groups(df: DataFrame, group: str, order: str, value: str, subset:
 def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, k: int) -> DataFrame:
     """Long table (data_source, metric, value): mean@n, population std@n, best@k and worst@k per prompt, then averaged over the prompts of a source."""
     base = df.groupBy(source, prompt).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    keyed = df.withColumn("_g", F.struct(source, prompt))
-    best = best_at_k(keyed, "_g", value, k).select("_g.*", F.col("best_at_k").alias("best"))
-    worst = best_at_k(keyed, "_g", value, k, worst=True).select("_g.*", F.col("best_at_k").alias("worst"))
-    per_prompt = base.join(best, [source, prompt]).join(worst, [source, prompt])
+    per_prompt = base.join(best_and_worst(df, [source, prompt], value, k), [source, prompt])
     wide = per_prompt.groupBy(source).agg(*[F.avg(c).alias(c) for c in ("mean", "std", "best", "worst")])
     names = {"mean": "mean@n", "std": "std@n", "best": f"best@{k}/mean", "worst": f"worst@{k}/mean"}
     pairs = F.array(*[F.struct(F.lit(label).alias("metric"), F.col(c).alias("value")) for c, label in names.items()])

@@ -10,6 +10,7 @@ from rolloutlake.operators import batches as ba
 from rolloutlake.operators import builders as bd
 from rolloutlake.operators import frame, guarded
 from rolloutlake.operators import losses as ls
+from rolloutlake.operators import messages as ms
 from rolloutlake.operators import scoring as sc
 from rolloutlake.operators import votes as vt
 from rolloutlake.plans.tokens_plan import TOK, token_rows
@@ -212,6 +213,32 @@ def _changes(s, d):
     return rd.listing_changes(paths.where("event_id % 3 <> 0").select("path"), paths.where("event_id % 5 <> 0").select("path"))
 
 
+def _total(c):
+    return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _conversations(s, d):
+    rows = events(s, d).select("user_id", "event_id", F.when(C("event_type") == "view", "assistant").otherwise("user").alias("role"), F.sequence(F.lit(1).cast("long"), C("event_id") % 4 + 1).alias("tok"))
+    out = ms.padded_conversations(rows, "user_id", "event_id", "role", "tok", 100)
+    return out.select("user_id", "n_tokens", F.size("input_ids").alias("width"), _total("input_ids").alias("ids"), _total("attention_mask").alias("seen"), _total("loss_mask").alias("on_tokens"))
+
+
+CONVERSATIONS = """WITH t AS (SELECT user_id, event_id, event_type, unnest(range(1, event_id % 4 + 2)) AS id FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id, id) AS k FROM t)
+  SELECT user_id, CAST(count(*) AS INT) AS n_tokens, 100 AS width, CAST(sum(id) FILTER (k <= 100) AS BIGINT) AS ids, count(*) FILTER (k <= 100) AS seen, count(*) FILTER (k <= 100 AND event_type = 'view') AS on_tokens FROM n GROUP BY 1"""
+
+
+def _preference(s, d):
+    make = lambda n: F.sequence(F.lit(1).cast("long"), n)
+    packed = ms.preference_pack(F.array(C("event_id")), make(C("event_id") % 3 + 1), make(C("event_id") % 5 + 1), -1)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return events(s, d).select("event_id", *packed).select("event_id", text("chosen_ids").alias("chosen"), text("rejected_ids").alias("rejected"), text("chosen_mask").alias("mask"))
+
+
+PREFERENCE = """WITH n AS (SELECT event_id, event_id % 3 + 2 AS a, event_id % 5 + 2 AS b FROM events), w AS (SELECT *, greatest(a, b) AS w FROM n)
+  SELECT event_id, event_id || ',' || array_to_string(list_transform(range(1, w), lambda i: CASE WHEN i < a THEN i ELSE -1 END), ',') AS chosen, event_id || ',' || array_to_string(list_transform(range(1, w), lambda i: CASE WHEN i < b THEN i ELSE -1 END), ',') AS rejected,
+    array_to_string(list_transform(range(0, w), lambda i: CASE WHEN i < a THEN 1 ELSE 0 END), ',') AS mask FROM w"""
+
 _LONG = "y" * 400
 
 CATALOG = {
@@ -248,6 +275,8 @@ CATALOG = {
     "score_strict_box": (_scored("strict_box", ["it is \\boxed{12}", "\\boxed{12} " + _LONG, "\\boxed{1} or \\boxed{12}", "12"], "12"), _scores_sql(1, -1, 1, -1)),
     "score_geometry": (_scored("geometry", ["<think> a </think> \\boxed{12}", "\\boxed{12}", "<think> a </think> \\boxed{13}", "12"], "12"), _scores_sql(1.0, 0.9, 0.1, 0.0)),
     "score_characters": (_scored("character_count", ["\\boxed{3}", "\\boxed{4}", "3", "\\boxed{\\text{3}}"], "3"), _scores_sql(1, 0, 0, 0)),
+    "msg_padded_conversations": (_conversations, CONVERSATIONS),
+    "tok_preference_pack": (_preference, PREFERENCE),
     "read_broken_json": (_broken, "SELECT event_id AS id, 'a' AS v FROM events WHERE event_id % 5 <> 0"),
     "read_listing_changes": (_changes, "SELECT '/x/' || event_id AS path, CASE WHEN event_id % 3 = 0 THEN 'added' ELSE 'removed' END AS change FROM events WHERE (event_id % 3 = 0) <> (event_id % 5 = 0)"),
     "sink_parquet_splits": (_splits_written, "SELECT event_type AS split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1"),

@@ -330,3 +330,14 @@ def test_row_index_of_clustered_keys(spark, monkeypatch):
     got = {r.k: r.row_idx for r in frame.with_row_index(df, "k").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
     assert frame.with_row_index(df.limit(0), "k").collect() == []
+
+
+def test_scans_of_null_empty_and_uneven_arrays(spark):
+    from rolloutlake.functions import tokens
+
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None), (3, []), (4, [5.0]), (5, [1.0] * 3000)], "k long, r array<double>").coalesce(1)
+    got = {r.k: r.x for r in df.select("k", tokens.reverse_cumsum(F.col("r")).alias("x")).collect()}
+    assert (got[1], got[2], got[3], got[4]) == ([6.0, 5.0, 3.0], None, [], [5.0]) and got[5][0] == 3000.0 and got[5][-1] == 1.0
+    back = {r.k: r.x for r in df.where("k = 1").select("k", tokens.discounted_returns(F.col("r"), F.array(F.lit(1), F.lit(0), F.lit(1)), 0.5).alias("x")).collect()}
+    assert back[1] == [1.0, 3.5, 3.0]
+    assert {r.k: r.x for r in df.where("k IN (1, 2)").select("k", tokens.gae(F.col("r"), F.transform("r", lambda x: x * 0), 0.5, 1.0).alias("x")).collect()} == {1: [2.75, 3.5, 3.0], 2: None}
