@@ -26,6 +26,17 @@ P5 = f"""WITH RECURSIVE {_pairs('SELECT row_id, question AS text, true AS part F
   reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
   SELECT min(b) AS row_a, a AS row_b FROM reach GROUP BY a HAVING min(b) < a"""
 
+P3_REPORT = f"""WITH {_pairs(
+    '''SELECT row_id, question AS text, split = 'train' AS part, split, source FROM train_sanity WHERE split IN ('train', 'validation', 'test')
+       UNION ALL SELECT row_id, prompt, split = 'train', split, source FROM amc_ttt WHERE split IN ('train', 'validation', 'test') UNION ALL SELECT row_id, prompt, split = 'train', split, 'math_l1_ttt' FROM math_l1_ttt WHERE split IN ('train', 'validation', 'test')''',
+    'a.part AND NOT b.part',
+)} SELECT split, source, count(DISTINCT b) AS eval_rows, count(*) AS pairs FROM links JOIN r ON r.row_id = b GROUP BY 1, 2"""
+
+P5_GROUPS = f"""WITH RECURSIVE {_pairs('SELECT row_id, question AS text, true AS part FROM train_sanity UNION ALL SELECT row_id, prompt, true FROM sanity', 'a.row_id <> b.row_id')},
+  reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+  g AS (SELECT row_id, least(row_id, coalesce(min(b), row_id)) AS root FROM s LEFT JOIN reach ON a = row_id WHERE regexp_replace(text, '[\\p{{Z}}\\p{{C}}\\s]+', '', 'g') <> '' GROUP BY 1)
+  SELECT members, count(*) AS groups FROM (SELECT root, count(*) AS members FROM g GROUP BY 1) GROUP BY 1"""
+
 _GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' ')))"
 _LEAKS = f"""i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
   found AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, {_GRAMS} AS g FROM d) JOIN (SELECT DISTINCT item_id, {_GRAMS} AS g FROM i) USING (g))"""
@@ -70,7 +81,9 @@ ORACLE = {
     "p3_found": P3,
     "p4_found": f"WITH {_COPIES} SELECT first_id AS row_a, row_id AS row_b FROM g WHERE row_id <> first_id",
     "p4_copies": f"WITH {_COPIES} SELECT row_id, copies FROM g WHERE row_id = first_id",
+    "p3_report": P3_REPORT,
     "p5_found": P5,
+    "p5_groups": P5_GROUPS,
     "p7_growth": GROWTH,
     "p8_round_trip": "SELECT coalesce(lower(lang), 'und') AS lang, count(*) AS docs, count(*) AS exact FROM documents GROUP BY 1",
     "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM found",
