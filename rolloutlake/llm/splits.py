@@ -53,12 +53,12 @@ def video_of_record(record_id: Column) -> Column:
 
 
 def clip_of_path(path: Column) -> Column:
-    """Clip number, leading zeros kept, of a clip's path."""
-    return _last_match(path, r"(\d{5})(?:_\d{3,4}p)?(?:\s*\(\d+\))?(?:\.[A-Za-z0-9]{2,4})?")
+    """Clip number of five digits or more, leading zeros kept, of a clip's path."""
+    return _last_match(path, r"(\d{5,})(?:_\d{3,4}p)?(?:\s*\(\d+\))?(?:\.[A-Za-z0-9]{2,4})?")
 
 
 def clip_of_record(record_id: Column) -> Column:
-    found = F.regexp_extract(record_id, r"^\s*(\d{5})_\d+\s*$", 1)
+    found = F.regexp_extract(record_id, r"^\s*(\d{5,})_\d+\s*$", 1)
     return F.when(found != "", found)
 
 

@@ -54,6 +54,12 @@ def test_split_names(spark):
     assert [r[0] for r in clips.select(splits.clip_of_path(clips.p)).collect()] == ["00617", "00357", "00002", "00199", None]
 
 
+def test_clips_beyond_five_digits_are_read(spark):
+    df = spark.createDataFrame([("/data/vol2/ego/videos/858123/left_02.mp4", "858123_77"), (r"E:\ego\100000 (1).mp4", "100000_5"), ("ego/videos/1234567_720p.mp4", "1234567_1"), ("/mnt/pool7/ego_2024/00002.MP4", "00002_9"), ("/mnt/2024/x.mp4", "2024_9")], "p string, i string")
+    got = [tuple(r) for r in df.select(splits.clip_of_path(df.p), splits.clip_of_record(df.i)).collect()]
+    assert got == [("858123", "858123"), ("100000", "100000"), ("1234567", "1234567"), ("00002", "00002"), (None, None)]
+
+
 def test_split_groups_stay_whole(spark):
     rng = random.Random(1)
     weights = [(f"g{k}", rng.randrange(1, 6)) for k in range(2000)] + [("big", 900)]
