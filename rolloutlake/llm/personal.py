@@ -11,8 +11,8 @@ that repeated run numbers do not vouch for each other. One name part alone is no
 masked first.
 
 Cues are learned, not listed: the words next to pairs of known name parts, and in front of phone numbers whose form is
-certain, are counted over a sample of at most FIT_DOCUMENTS documents (documented bound), and a cue's weight is the log odds that
-such a pair or number stands at it, smoothed. Words that the sample writes nearly always in lower case are no name words.
+certain, are counted over all documents, and a cue's weight is the log odds that such a pair or number stands at it,
+smoothed. Words that the documents write nearly always in lower case are no name words.
 
 Null, empty and blank texts have no findings and stay as they are. Whole texts are searched; equal findings of one
 document are listed once, and all their places are replaced. Repeated rows are handled alike.
@@ -23,8 +23,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -36,9 +36,6 @@ from rolloutlake.llm import common
 
 KINDS = ("email", "phone", "identity", "address", "name")
 
-#: Most documents that the cue weights are fitted on.
-FIT_DOCUMENTS = 10_000
-
 # ---- patterns (fixed values) ----
 
 _S = r"\s{1,8}"
@@ -65,6 +62,19 @@ _PHONE_FORMS = (
     (DOUBTFUL, r"\d{10}"),
 )
 _PHONE = re.compile(r"(?<![\w+.,:/-])(?:" + "|".join(f"({form})" for _, form in _PHONE_FORMS) + r")(?![\d:]|[.,-]\d)")
+#: Where a phone number can begin; trying there alone is far cheaper than trying everywhere.
+_PHONE_START = re.compile(r"[+(]|\d+")
+
+
+def _phones(text: str) -> Iterator[re.Match]:
+    """The matches of _PHONE in order, without overlaps."""
+    done = 0
+    for start in _PHONE_START.finditer(text):
+        if start.start() >= done and (m := _PHONE.match(text, start.start())):
+            done = m.end()
+            yield m
+
+
 _IDENTITY = re.compile(
     rf"(?:\bssn\b|\bsocial{_S}security\b|\btax{_S}id\b|\bpassport\b|\btravel{_S}document\b|\binsurance\b|\btax{_S}number\b|\bidentity\b|\bnational{_S}id\b|\bni{_S}no\b|\bnino\b|\bnational{_S}insurance\b)"
     rf"(?:{_S}(?:no\.?|number|nr\.?|num\.?|card|id|is|code))*\.?\s*[:=#]?\s*(?:no\.?\s*)?[\"']?"
@@ -155,7 +165,7 @@ Candidate = tuple[int, int, str, str, float]
 
 def phone_candidates(text: str, cues: dict[str, float]) -> list[Candidate]:
     out = []
-    for m in _PHONE.finditer(text):
+    for m in _phones(text):
         digits = re.sub(r"\D", "", m.group())
         if not 9 <= len(digits) <= 15:
             continue
@@ -271,12 +281,8 @@ class NameModel:
 
     def __init__(self, given: set[str], family: set[str], left: dict[str, float], right: dict[str, float] | None = None, numbers: dict[str, float] | None = None, plain: set[str] | None = None):
         self.given, self.family, self.left, self.right, self.numbers, self.plain = given, family, left, right or {}, numbers or {}, plain or set()
-        self.anchors = ahocorasick.Automaton()
         strong = {c for side in (self.left, self.right) for c, w in side.items() if len(c) > 1 and w >= ANCHOR_WEIGHT}
-        for w in given | family | strong:
-            self.anchors.add_word(w, len(w))
-        if len(self.anchors):
-            self.anchors.make_automaton()
+        self.anchors = _automaton(given | family | strong)
 
     def spans(self, lower: str, also: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
         """Stretches of text around anchors and around the places (last character, length) of ``also``, merged."""
@@ -480,81 +486,116 @@ def _lower(text: str) -> str:
 
 #: Signs that end a cue although the next word follows at once.
 _ATTACHED = re.compile(r"([\"(=:<\[])(?=\w)")
+_WORD = re.compile(_NAME)
+
+
+def _automaton(words: set[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, len(w))
+    if len(out):
+        out.make_automaton()
+    return out
+
+
+def _may_pair(low: str, parts: ahocorasick.Automaton) -> bool:
+    """Whether two known parts may stand beside each other: never false where they do, and far cheaper than looking at every word."""
+    before: list[int] = []
+    for end, size in parts.iter(low) if len(parts) else ():
+        start = end - size + 1
+        at = next((x for x in reversed(before) if x <= start), None)
+        if at is not None and len(low[at:start].strip()) <= 2:
+            return True
+        before.append(end + 1)
+    return False
 
 
-def _cue_counts(texts: list[str], given: set[str], family: set[str], asked: dict[str, frozenset[str]] | None) -> dict[tuple[str, str], list[int]]:
-    """(side, words) to (at a known pair or a certain number, everywhere). Without ``asked`` only the first are counted; with it,
-    every word of the texts is looked at and only the asked cues count."""
+def _hit_counts(texts: list[str], given: set[str], family: set[str]) -> dict[tuple[str, str], list[int]]:
+    """(side, words) to (at a known pair or a certain number, 0), and ("word", word) to (written in lower case, with a capital)."""
     out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    parts, spelled = _automaton(given | family), Counter()
     for text in texts:
+        spelled.update(_WORD.findall(text))
         low = _lower(text)
-        sure = [(m.start(), m.end()) for m in _PHONE.finditer(text) if _PHONE_FORMS[m.lastindex - 1][0] > 0]
-        if asked is None:
+        if _may_pair(low, parts):
             for a, b in _pairs(low, given, family):
                 for side, words in (("left", _last_words(low[max(0, a - 40) : a])), ("right", _first_words(low[b : b + 40]))):
                     for w in words:
                         out[side, w][0] += 1
-            for a, _ in sure:
-                for w in _last_words(low[max(0, a - 40) : a]):
+        for m in _phones(text):
+            if _PHONE_FORMS[m.lastindex - 1][0] > 0:
+                for w in _last_words(low[max(0, m.start() - 40) : m.start()]):
                     out["number", w][0] += 1
-            continue
-        words = _ATTACHED.sub(r"\1 ", low).split()
-        for i, w in enumerate(words):
-            tail, head = w.rstrip("\"'"), w.lstrip("\"')*_")
-            if tail in asked["tails"] or tail.lstrip(_OPENING) in asked["tails"] or w in asked["tails"]:
-                for told in _last_words(" ".join(words[max(0, i - 2) : i + 1])):
-                    for side in ("left", "number"):
-                        if told in asked[side]:
-                            out[side, told][1] += 1
-            if head in asked["heads"] or head.rstrip(_CLOSING) in asked["heads"]:
-                for told in _first_words(" ".join(words[i : i + 3])):
-                    if told in asked["right"]:
-                        out["right", told][1] += 1
+    for w, n in spelled.items():
+        if len(w) > 1 and w[0].isalpha():
+            out["word", w.lower()][0 if w[0].islower() else 1] += n
     return out
 
 
-def fitted_model(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_DOCUMENTS) -> NameModel:
-    """Potentials fitted on at most ``most`` documents: the first by a hash of their id, so the sample does not depend on order or partitions.
+class _Marks(dict):
+    """Word to 1 if an asked cue may end with it, plus 2 if one may begin with it; as many words as the memory holds."""
 
-    What comes to the driver is bounded by the sample: cues at LEAST_PAIRS known pairs or more, the MOST_CUES most frequent of each side,
-    and words that stand ten times or more, nearly always in lower case.
+    def __init__(self, tails: set[str], heads: set[str]):
+        self.tails, self.heads = tails, heads
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        tail, head = w.rstrip("\"'"), w.lstrip("\"')*_")
+        self[w] = mark = int(not self.tails.isdisjoint((tail, tail.lstrip(_OPENING), w, w.lstrip(_OPENING)))) + 2 * int(not self.heads.isdisjoint((head, head.rstrip(_CLOSING))))
+        return mark
+
+
+def _place_counts(texts: list[str], asked: dict[str, dict[str, int]]) -> dict[tuple[str, str], list[int]]:
+    """(side, asked cue) to (0, places where it stands), over every word of the texts."""
+    out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    marks = _Marks({c.rsplit(" ", 1)[-1] for side in ("left", "number") for c in asked[side]}, {c.split(" ", 1)[0] for c in asked["right"]})
+    ending, beginning = Counter(), Counter()
+    for text in texts:
+        words = _ATTACHED.sub(r"\1 ", _lower(text)).split()
+        marked = list(map(marks.__getitem__, words))
+        padded = ["", "", *words, "", ""]
+        ending.update([(padded[i], padded[i + 1], w) for i, (w, mark) in enumerate(zip(words, marked)) if mark & 1])
+        beginning.update([(w, padded[i + 3], padded[i + 4]) for i, (w, mark) in enumerate(zip(words, marked)) if mark & 2])
+    for sides, counts, told in ((("left", "number"), ending, _last_words), (("right",), beginning, _first_words)):
+        for words, n in counts.items():
+            for cue in told(" ".join(words).strip(" ")):
+                for side in sides:
+                    if cue in asked[side]:
+                        out[side, cue][1] += n
+    return out
+
+
+def fitted_model(docs: DataFrame, names: DataFrame, text_col: str = "text") -> NameModel:
+    """Potentials fitted on all documents.
+
+    What comes to the driver are the MOST_CUES most frequent cues of each side with LEAST_PAIRS known pairs or more, and the words
+    that stand ten times or more, nearly always in lower case.
     """
     parts = names.select("name_part", "kind").collect()
     given = {r.name_part.lower() for r in parts if r.kind == "given" and r.name_part}
     family = {r.name_part.lower() for r in parts if r.kind == "family" and r.name_part}
-    sent = docs.sparkSession.sparkContext.broadcast((given, family))
-    total = docs.count()
-    share = min(1.0, most / total) if total else 1.0
-    sample = docs.where((F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col(text_col).isNotNull()).select(text_col)
-    # The sample is small, but may lie in one file: it is spread over the cluster and read once.
-    sample = common.written(sample.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism)), "sample")
-
-    def counted(asked: dict[str, frozenset[str]] | None) -> DataFrame:
+    spark = docs.sparkSession
+    texts = docs.where(F.col(text_col).isNotNull()).select(text_col)
+
+    def counted(counts: Callable[..., dict[tuple[str, str], list[int]]], *told) -> DataFrame:
+        sent = spark.sparkContext.broadcast(told)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                rows = [(side, w, a, b) for (side, w), (a, b) in _cue_counts(texts, *sent.value, asked).items()]
-                if asked is None:
-                    spelled: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-                    for text in texts:
-                        for m in _TOKEN.finditer(text):
-                            w = m.group()
-                            if len(w) > 1 and w[0].isalpha():
-                                spelled[w.lower()][0 if w[0].islower() else 1] += 1
-                    rows += [("word", w, a, b) for w, (a, b) in spelled.items()]
+                rows = [(side, w, a, b) for (side, w), (a, b) in counts(batch.column(0).to_pylist(), *sent.value).items()]
                 cols = list(zip(*rows)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["side", "cue", "hit", "n"])
 
-        return sample.mapInArrow(run, "side string, cue string, hit long, n long").groupBy("side", "cue").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+        return texts.mapInArrow(run, "side string, cue string, hit long, n long").groupBy("side", "cue").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
 
-    first = counted(None).where((F.col("side") != "word") & (F.col("hit") >= LEAST_PAIRS) | (F.col("side") == "word") & (F.col("hit") >= 10) & (F.col("hit") >= 19 * F.col("n"))).collect()
-    plain = {r.cue for r in first if r.side == "word"}
-    hits = {side: {r.cue: r.hit for r in sorted((r for r in first if r.side == side), key=lambda r: (-r.hit, r.cue))[:MOST_CUES]} for side in ("left", "right", "number")}
-    asked = {side: frozenset(cues) for side, cues in hits.items()}
-    asked |= {"tails": frozenset(c.rsplit(" ", 1)[-1] for side in ("left", "number") for c in hits[side]), "heads": frozenset(c.split(" ", 1)[0] for c in hits["right"])}
+    word = F.col("side") == "word"
+    first = common.written(counted(_hit_counts, given, family).where(~word & (F.col("hit") >= LEAST_PAIRS) | word & (F.col("hit") >= 10) & (F.col("hit") >= 19 * F.col("n"))), "cues")
+    plain = {r.cue for r in first.where(word).select("cue").collect()}
+    hits = {side: {r.cue: r.hit for r in first.where(F.col("side") == side).orderBy(F.desc("hit"), "cue").limit(MOST_CUES).collect()} for side in ("left", "right", "number")}
     weights: dict[str, dict[str, float]] = {side: {} for side in hits}
-    if any(asked.values()):
-        for r in counted(asked).collect():
+    if any(hits.values()):
+        for r in counted(_place_counts, hits).collect():
             hit = min(hits[r.side][r.cue], r.n)
             # The shift makes a cue that is right one time in ten worthless.
             weight = max(0.0, min(3.5, math.log((hit + 0.5) / (r.n - hit + 0.5)) + 2.2))
@@ -569,7 +610,7 @@ def fitted_model(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text
 def scan(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", replace: bool = False) -> DataFrame:
     """(id, kind, found) once per document and finding, or with ``replace`` (id, text) with placeholders."""
     spark = docs.sparkSession
-    model = fitted_model(docs, names, id_col, text_col)
+    model = fitted_model(docs, names, text_col)
     sent = spark.sparkContext.broadcast((model.given, model.family, model.left, model.right, model.numbers, model.plain))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rolloutlake.llm import personal as p
 
@@ -85,6 +86,16 @@ def test_cues_are_learned(spark):
     assert got == {(1000, "name", "hedra corrigane"), (1001, "phone", "2128675309")}
 
 
+def test_cues_are_learned_from_all_documents(spark):
+    # Five known pairs in 40,000 documents: a sample of a quarter holds too few of them.
+    rare = F.when(F.col("doc_id") < 5, "the stage was built by maestro Corwin Ostrelli who left early.").when(F.col("doc_id") == 5, "it was made by maestro Hedra Corrigane who left")
+    df = spark.range(40_000).withColumnRenamed("id", "doc_id").withColumn("text", F.coalesce(rare, F.lit("the lamp was lit and the tape ran on.")))
+    names = spark.createDataFrame([(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY], "name_part string, kind string")
+    fitted = p.fitted_model(df, names)
+    assert fitted.left["maestro"] > 1 and fitted.right["who left"] > 1
+    assert {(r.doc_id, r.found) for r in p.scan(df, names).collect()} == {(k, "corwin ostrelli") for k in range(5)} | {(5, "hedra corrigane")}
+
+
 def test_replacing_keeps_the_rest(model):
     text = "Thanks to Tamsel Ostrelli for the fix! a@b.example, a@b.example"
     assert p.replaced(text, p.findings(text, model)) == "Thanks to [NAME] for the fix! [EMAIL], [EMAIL]"
