@@ -3,10 +3,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rolloutlake.llm import minhash, segjoin
+from rolloutlake.llm import closepairs, minhash, segjoin
 
 RARE = [f"w{k}x" for k in range(400)]
 COMMON = ["the", "a", "of", "to", "in", "is", "that"]
@@ -195,3 +196,22 @@ def test_segments_of_a_skewed_vocabulary_find_every_pair(spark, monkeypatch):
         want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if rows[i][2] == "test" and rows[j][2] == "train" and len(a & b) * 10 >= 7 * len(a | b)}
         got = {(r.e_id, r.t_id) for r in segjoin.overlaps(spark.createDataFrame(rows, "row_id long, text string, split string, source string")).collect()}
         assert got == want and len(want) > 200
+
+
+def test_template_text_leaves_few_candidates_and_drops_none(spark):
+    rng = np.random.default_rng(5)
+    templates = [rng.choice(60, 20, replace=False) for _ in range(6)]
+    sets = []
+    for k in range(900):
+        words = set(templates[k % 6].tolist()) | set((100 + rng.choice(400, 14, replace=False)).tolist())
+        if k % 5 == 4:  # a rewrite of the set before
+            words = set(sets[-1]) ^ set(rng.choice(sorted(sets[-1]), 3, replace=False).tolist()) | {600 + k}
+        sets.append(sorted(words))
+    code = {w: int(h) for w, h in zip(range(2000), rng.integers(-(1 << 62), 1 << 62, 2000))}
+    df = spark.createDataFrame([(k, k % 2, sorted(code[w] for w in s)) for k, s in enumerate(sets)], "cid long, nh long, words array<long>").withColumn("nh", F.col("nh") * 0)
+    known, bits = segjoin.word_bits(df)
+    left, right = df.where("cid % 2 = 0"), df.where("cid % 2 = 1")
+    for width in (1, 3):
+        got = [(r.a, r.b) for r in closepairs.candidates(left, right, width, known, bits).collect()]
+        want = {(a, b) for a in range(0, 900, 2) for b in range(1, 900, 2) if len(set(sets[a]) ^ set(sets[b])) <= segjoin.edit_bound(len(sets[a]) + len(sets[b]))}
+        assert len(want) > 100 and want <= set(got) and len(got) == len(set(got)) and len(got) < len(want) + 450 * 450 // 100
