@@ -1,17 +1,16 @@
-"""Problem 5: groups of small rewrites, by circulant MinHash, banding and exact verification.
+"""Problem 5: groups of small rewrites, by circulant MinHash, parts of hot groups taken apart further, and exact similarity.
 
-Two permutations give all coordinates: a word is placed by sigma, and coordinate k of a set is the smallest value of
-pi, shifted circularly by k, over the places of its words. The signature of a word is thus one stretch of pi, and a
-set's signature the coordinate-wise minimum of its words' stretches. Every set is signed with all its words, frequent
-ones included, so what a pair's signatures share is its similarity, also inside a hot group; bands of six rows keep
-unrelated records of one template apart.
+Sets whose numbers stand in no more than HOT sets are compared pair by pair. For the others two permutations give all
+coordinates: a word is placed by sigma, and coordinate k of a set is the smallest value of pi, shifted circularly by k, over
+the places of its words. Every set is signed with all its words, frequent ones included. A set is sent, with its words, to one group for each of
+its first coordinates; two sets within the similarity agree in one with a chance of 0.7 or more. Groups too large for one task, counted before
+the shuffle, take one more coordinate each time, and more bands for it (ROUTES). Where a group is large, as
+the one of a word of a template is, it is taken apart by further orders of its words until its parts are small
+(neartree), so sets of one template that differ otherwise are not compared, however many there are.
 
-Sets whose band agrees, together with their numbers, are candidates. Sets whose numbers stand in no more than HOT sets
-need no signature: they have one band, their numbers. Small bands compare their members pairwise
-behind a sketch test, which never drops a pair within the similarity; a band of more than HOT members compares them with its first member only, and what is then
-still unlinked with all members, so no pair inside a band is lost and none is compared for nothing. Bands that hold
-a large share of the rows are found before the shuffle and salted.
-Candidates are verified by their exact similarity, and groups are the connected components.
+Words are sent as numbers of two bytes; those beyond the most frequent ones as hashes. Groups that no coordinate makes
+smaller are laid out on cells of salts, so that every pair of them still meets in one. Pairs are verified by their words where they meet, and
+groups of records are the connected components.
 
 Null, blank and wordless texts link only as equal texts (wordless ones) or not at all. Copies join through their
 class; repeated rows are copies. Whole texts are used; extra columns are not read.
@@ -19,27 +18,31 @@ class; repeated rows are copies. Whole texts are used; extra columns are not rea
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloutlake.llm import common, components, wordsets
+from rolloutlake.llm import common, components, neartree, wordsets
 
-BANDS, ROWS = 50, 6
-#: Sets that are signed at once.
-SIGNED = 1024
+#: Bands in which a set is sent to a group that takes so many coordinates: 1, 2, and so on.
+ROUTES = (6, 12, 18, 27, 39, 56)
+COORDINATES = ROUTES[-1] * len(ROUTES)
 #: Sets whose signatures are worked out side by side.
 PIECE = 128
 PLACES = 1 << 20
 SIMILARITY = 0.7
-#: Largest band that is compared pairwise, and rows per salt of a heavier one.
-HOT = 192
-SALT_ROWS = 50_000
-#: Share of all sets from which a band is salted.
-HEAVY = 0.002
+#: Largest group that is compared pair by pair; rows from which a group takes one more coordinate, or salts.
+HOT = 2000
+SALT_ROWS = 150_000
+#: Words that have a number of their own.
+NUMBERED = (1 << 16) - 1
+#: Rows from which whole groups are compared together.
+TOGETHER = 20_000
+#: Classes remembered by a task, so that it sends copies once; the memory is emptied when full, which changes no result.
+_REMEMBERED = 100_000
 
 _TABLES: dict[int, np.ndarray] = {}
 
@@ -48,20 +51,20 @@ def _pi(seed: int = 11) -> np.ndarray:
     """The circular permutation, with its head repeated behind its tail."""
     if seed not in _TABLES:
         p = np.random.RandomState(seed).permutation(PLACES).astype(np.uint32)
-        _TABLES[seed] = np.concatenate([p, p[: BANDS * ROWS]])
+        _TABLES[seed] = np.concatenate([p, p[:COORDINATES]])
     return _TABLES[seed]
 
 
-def signatures(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Signatures of sets: ``places`` are sigma's places of all words, ``offsets`` the start of each (non-empty) set.
+def signatures(places: np.ndarray, offsets: np.ndarray, count: int = COORDINATES) -> np.ndarray:
+    """The first coordinates of sets: ``places`` are sigma's places of all words, ``offsets`` the start of each (non-empty) set.
 
     All sets of a piece take in their next word at once, largest sets first, so that the running minimum stays in the
     processor's cache.
     """
-    stretches = np.lib.stride_tricks.sliding_window_view(_pi(), BANDS * ROWS)
+    stretches = np.lib.stride_tricks.sliding_window_view(_pi(), count)
     sizes = np.diff(np.append(offsets, len(places)))
     order = np.argsort(-sizes, kind="stable")
-    out = np.empty((len(offsets), BANDS * ROWS), np.uint32)
+    out = np.empty((len(offsets), count), np.uint32)
     for at in range(0, len(order), PIECE):
         rows = order[at : at + PIECE]
         first, n = offsets[rows], sizes[rows]
@@ -75,213 +78,197 @@ def signatures(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Values of lists one after the other, and where each list begins and ends."""
     offsets = np.asarray(lists.offsets).astype(np.int64)
     return np.asarray(lists.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _keys(part: pa.RecordBatch) -> np.ndarray:
-    """Band keys (with the numbers) of a batch's sets."""
-    flat, offsets = _flat(part.column(2))
-    sig = signatures(flat & (PLACES - 1), offsets[:-1]).astype(np.uint64)
-    numbers = np.asarray(part.column(1)).astype(np.uint64)
-    keys = np.empty((len(sig), BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for b in range(BANDS):
-            h = numbers + np.uint64(b + 1)
-            for r in range(ROWS):
-                h = _mix(h ^ sig[:, b * ROWS + r])
-            keys[:, b] = _mix(h)
-    return keys.view(np.int64)
+def frequent_words(classes: DataFrame) -> np.ndarray:
+    """Hashes of the words that stand in most sets, in order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts = np.unique(_flat(batch.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts.astype(np.int64))], names=["w", "n"])
 
-def _sketches(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """How many words of each set fall on each of 64 bits, modulo 2, and the size of the set."""
-    flat, offsets = _flat(part.column(2))
-    bits = np.uint64(1) << ((flat.astype(np.int64) >> 20) & 63).astype(np.uint64)
-    return np.bitwise_xor.reduceat(bits, offsets[:-1]).view(np.int64), np.diff(offsets)
-
+    counts = classes.select("words").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.w for r in counts.orderBy(F.desc("n"), "w").limit(NUMBERED).collect()], np.int64))
 
-def alike(a: np.ndarray, b: np.ndarray, joint: np.ndarray) -> np.ndarray:
-    """The sketch test: no more bits differ than words may, in two sets of joint size ``joint`` within the similarity."""
-    return np.bitwise_count((a ^ b).view(np.uint64)) * (1 + SIMILARITY) <= (1 - SIMILARITY) * joint + 1e-9
 
+def _routes(numbers: np.ndarray, words: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, least: int) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray, int]]:
+    """((set, band, key), whether the group takes one more coordinate, how many it took before) of sets, one length after the other.
 
-def heavy_bands(sets: DataFrame) -> DataFrame:
-    """(band, n) of bands that hold a large share of a batch somewhere: counted before anything is shuffled."""
+    It takes one more if it is ``heavy`` or, if ``least`` is not zero, has so many of the sets at hand.
+    """
+    wide = len(heavy) > 0 or least > 0
+    count = ROUTES[-1] if wide else ROUTES[0]
+    sig = signatures(words & (PLACES - 1), offsets[:-1], count * (len(ROUTES) if wide else 1)).astype(np.uint64)
+    rows, band = (x.ravel() for x in np.meshgrid(np.arange(len(numbers)), np.arange(count), indexing="ij"))
+    key = neartree.mix(numbers.view(np.uint64))[rows]
+    for length in range(len(ROUTES) if wide else 1):
+        key = neartree.mix(key ^ neartree.mix(sig[rows, length * count + band] * np.uint64(count) + band.astype(np.uint64) + np.uint64(1)))
+        told = key.view(np.int64)
+        if least:
+            _, which, times = np.unique(told, return_inverse=True, return_counts=True)
+            on = (times >= least)[which]
+        else:
+            on = np.isin(told, heavy)
+        yield (rows, band, told), on, length
+        rows, band, key = rows[on], band[on], key[on]
+        if not len(rows):
+            return
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that hold numbers of two bytes, up to the given end each."""
+    offsets = np.append(0, 2 * ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype(np.uint16))])
+
+
+_ROW = "key long, cid long, known binary, others array<long>"
+
+
+def sent_rows(classes: DataFrame, crowded: np.ndarray, known: np.ndarray, heavy: dict[int, int]) -> DataFrame:
+    """(key, cid, known, others) for every set (cid, nh, words) and group: the numbers of its frequent words and the hashes of the others.
+
+    Sets whose numbers are not ``crowded`` have one group. Groups that are ``heavy`` have cells of so many salts.
+    """
+    many, salts = np.array(sorted(heavy), np.int64), np.array([heavy[k] for k in sorted(heavy)], np.int64)
+
+    def cells(keys, cid):
+        """Keys, and the row of each, with every row (of class ``cid``) of a heavy group in the cells of its salt."""
+        times = salts[np.searchsorted(many, keys)]
+        own = neartree.mix(cid.view(np.uint64)) % times.astype(np.uint64)
+        at = np.repeat(np.arange(len(keys)), times)
+        other = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+        low, high = np.minimum(own[at], other), np.maximum(own[at], other)
+        return neartree.mix(keys[at].view(np.uint64) ^ neartree.mix((low << np.uint64(32)) + high + np.uint64(1))).view(np.int64), at
+
+    def groups(numbers, words, offsets, cid):
+        """(keys, rows) of crowded sets."""
+        for (rows, band, key), on, length in _routes(numbers, words, offsets, many, 0):
+            some = ~on & (band < ROUTES[length])
+            yield key[some], rows[some]
+            if length == len(ROUTES) - 1 and on.any():
+                keys, at = cells(key[on], cid[rows[on]])
+                yield keys, rows[on][at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            parts = [batch.slice(at, SIGNED) for at in range(0, batch.num_rows, SIGNED)]
-            if parts:
-                keys, counts = np.unique(np.concatenate([_keys(part) for part in parts]), return_counts=True)
-                many = counts >= max(HOT, batch.num_rows // 100)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(counts[many])], names=["band", "n"])
-
-    return sets.mapInArrow(run, "band long, n long").groupBy("band").agg(F.sum("n").alias("n"))
-
-
-def band_rows(sets: DataFrame, heavy: dict[int, int], signed: bool) -> DataFrame:
-    """(key, heavy, cid, sketch, n) for every set and band. The key is the band, or for a heavy band, of which ``heavy`` is the
-    number, counted from 1 in the order of all heavy bands, a hash of band and salt. Unsigned sets have one band."""
-    known = np.array(sorted(heavy), np.int64)
-    salts = np.array([heavy[k] for k in sorted(heavy)], np.int64)
+            cid = np.asarray(batch.column(0))
+            fresh = np.zeros(len(cid), bool)
+            fresh[np.unique(cid, return_index=True)[1]] = True
+            if len(seen) > _REMEMBERED:
+                seen.clear()
+            fresh &= np.fromiter((c not in seen for c in cid.tolist()), bool, len(cid))
+            seen.update(cid[fresh].tolist())
+            batch = batch.filter(pa.array(fresh))
+            if not batch.num_rows:
+                continue
+            cid, numbers = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            flat, offsets = _flat(batch.column(2))
+            spot = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            inside = known[spot] == flat
+            before = np.append(0, np.cumsum(inside))[offsets]
+            codes = _binary(spot[inside], before[1:])
+            others = pa.ListArray.from_arrays(pa.array((offsets - before).astype(np.int32)), pa.array(flat[~inside]))
+            hot = np.isin(numbers, crowded)
+            lone = np.flatnonzero(~hot)
+            sent = [(neartree.mix(numbers[lone].view(np.uint64)).view(np.int64), lone)]
+            rows = np.flatnonzero(hot)
+            if len(rows):
+                n = np.diff(offsets)[rows]
+                ends = np.append(0, np.cumsum(n))
+                words = flat[np.arange(ends[-1]) + np.repeat(offsets[rows] - ends[:-1], n)]
+                sent += [(key, rows[at]) for key, at in groups(numbers[rows], words, ends, cid[rows])]
+            for key, at in sent:
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid[at]), codes.take(take), others.take(take)], names=["key", "cid", "known", "others"])
+
+    return classes.select("cid", "nh", "words").mapInArrow(run, _ROW)
+
+
+def heavy_groups(classes: DataFrame, crowded: np.ndarray, total: int) -> dict[int, int]:
+    """Salts of the groups that more than SALT_ROWS of ``total`` sets are sent to, of all lengths; counted before anything is shuffled."""
+    share = SALT_ROWS / (4 * total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SIGNED):
-                part = batch.slice(at, SIGNED)
-                keys = _keys(part) if signed else np.asarray(part.column(1)).reshape(-1, 1)
-                sketch, n = _sketches(part)
-                times = keys.shape[1]
-                cid = np.repeat(np.asarray(part.column(0)), times)
-                key = keys.ravel().copy()
-                number = np.zeros(len(key), np.int32)
-                if signed and len(known):
-                    where = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    hit = known[where] == key
-                    with np.errstate(over="ignore"):
-                        spread = _mix(cid[hit].astype(np.uint64)) % salts[where[hit]].astype(np.uint64)
-                        key[hit] = _mix(key[hit].view(np.uint64) ^ _mix(spread + np.uint64(1))).view(np.int64)
-                    number[hit] = where[hit] + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(number), pa.array(cid), pa.array(np.repeat(sketch, times)), pa.array(np.repeat(n, times).astype(np.int32))], names=["key", "heavy", "cid", "sketch", "n"]
-                )
-
-    return sets.mapInArrow(run, "key long, heavy int, cid long, sketch long, n int")
-
-
-def _band_reader(heavy: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Reads rows sorted by key into candidates.
-
-    Keys of up to HOT members give their alike pairs (hot false). Of larger ones every member comes out beside the
-    first (hot true), with the sketch test of the two (like); the rows pass through, so memory is bounded by a batch and HOT rows.
-    """
-    bands, hot_limit = np.array(heavy, np.int64), HOT
-    names = ["hot", "band", "a", "b", "sketch", "n", "like"]
-
-    def pairs(cols):
-        """Alike pairs, smaller class first, of runs of up to HOT rows."""
-        key, _, cid, sketch, n = cols
-        out = [np.zeros((2, 0), np.int64)]
-        for gap in range(1, hot_limit):
-            at = np.flatnonzero(key[:-gap] == key[gap:]) if gap < len(key) else key[:0]
-            if not len(at):
-                break
-            at = at[alike(sketch[at], sketch[at + gap], n[at] + n[at + gap])]
-            out.append(np.sort(np.stack([cid[at], cid[at + gap]]), axis=0))
-        return np.concatenate(out, axis=1)
-
-    def record(is_hot, band, a, b, sketch, n, like):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_hot)), pa.array(band), pa.array(a), pa.array(b), pa.array(sketch), pa.array(n), pa.array(like)], names=names)
-
-    def beside(cols, first):
-        """Rows of hot runs, with their band, beside class, sketch and size of their first."""
-        key, number, cid, sketch, n = cols
-        band = np.where(number > 0, bands[np.maximum(number - 1, 0)], key) if len(bands) else key
-        a, b, c = (np.broadcast_to(x, len(cid)) for x in first)
-        return record(True, band, cid, a, sketch, n, alike(sketch, b, n + c))
-
-    def finish(cols, starts, ends):
-        """Whole runs: small ones to pairs, large ones to rows beside their first."""
-        sizes = ends - starts
-        small = np.repeat(sizes <= hot_limit, sizes)
-        a, b = pairs([c[small] for c in cols])
-        none = np.zeros(len(a), np.int64)
-        yield record(False, none, a, b, none, none, np.ones(len(a), bool))
-        if not small.all():
-            yield beside([c[~small] for c in cols], [np.repeat(c[starts], sizes)[~small] for c in cols[2:]])
+            batch = batch.filter(pa.array(np.isin(np.asarray(batch.column(0)), crowded)))
+            if batch.num_rows:
+                flat, offsets = _flat(batch.column(1))
+                none = np.zeros(0, np.int64)
+                for (_, _, key), on, _ in _routes(np.asarray(batch.column(0)), flat, offsets, none, max(2, int(share * batch.num_rows))):
+                    keys, counts = np.unique(key[on], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
+
+    counts = classes.select("nh", "words").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # At most COORDINATES times the sets, divided by SALT_ROWS, can be that many.
+    return {r.key: r.n // SALT_ROWS + 1 for r in counts.where(F.col("n") > SALT_ROWS).collect()}
+
+
+def _group_reader(known: int):
+    """Reads rows sorted by key into the pairs within the similarity, smaller class first, of the rows of each key."""
+    small = HOT
+
+    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, cid, codes, others = (pa.chunked_array([p.column(k) for p in parts]).combine_chunks() for k in range(4))
+        key, cid = np.asarray(key), np.asarray(cid)
+        offsets = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1].astype(np.int64) // 2
+        data = codes.buffers()[2]
+        numbered = np.frombuffer(data, np.uint16)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.zeros(0, np.uint16)
+        rare, ends = _flat(others)
+        names, rare = np.unique(rare, return_inverse=True)
+        a, b = np.diff(offsets), np.diff(ends)
+        n = a + b
+        flat = np.empty(int(n.sum()), np.int32)
+        first = np.cumsum(n) - n
+        flat[np.arange(len(numbered)) + np.repeat(first - (np.cumsum(a) - a), a)] = numbered
+        flat[np.arange(len(rare)) + np.repeat(first + a - (np.cumsum(b) - b), b)] = rare + known
+        i, j = neartree.near_pairs(key, neartree.Sets(flat, n, known + len(names)), small, cid)
+        x, y = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The unfinished run: its rows (until it is hot), class, sketch and size of its first, whether it is hot, its key.
-        held, lead, hot, last = [np.zeros(0, np.int64)] * 5, (), False, None
+        held, rows, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(batch.column(k)).astype(np.int64) for k in range(5)]
-            if hot:
-                # The run that began earlier is hot: pass its rows on as they come.
-                k = int((cols[0] == last).sum())
-                yield beside([c[:k] for c in cols], lead)
-                if k == len(cols[0]):
-                    continue
-                cols, hot = [c[k:] for c in cols], False
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            change = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-            starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(cols[0])]])
-            at = starts[-1]
-            if at:
-                yield from finish([c[:at] for c in cols], starts[:-1], ends[:-1])
-            held = [c[at:] for c in cols]
-            last = held[0][0]
-            if len(held[0]) > hot_limit:
-                hot, lead = True, tuple(int(c[0]) for c in held[2:])
-                yield beside(held, lead)
-                held = [c[:0] for c in held]
-        if len(held[0]):
-            yield from finish(held, np.array([0]), np.array([len(held[0])]))
+            key = np.asarray(batch.column(0))
+            change = np.flatnonzero(np.append(last is not None and key[0] != last, key[1:] != key[:-1]))
+            if len(change) and rows + change[-1] >= TOGETHER:
+                at = int(change[-1])
+                yield pairs(held + [batch.slice(0, at)])
+                held, rows, batch = [], 0, batch.slice(at)
+            held.append(batch)
+            rows += batch.num_rows
+            last = key[-1]
+        if held:
+            yield pairs(held)
 
     return run
 
 
-def _alike_columns(a: str, b: str, m: str, n: str):
-    """The sketch test on columns."""
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) * F.lit(1 + SIMILARITY) <= F.lit(1 - SIMILARITY) * (F.col(m) + F.col(n)) + 1e-9
-
-
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within the exact similarity; word sets (64-bit hashes) are fetched for candidates only."""
-    sets = classes.select("cid", "words")
-    one = pairs.join(sets.withColumnsRenamed({"cid": "a", "words": "wa"}), "a")
-    two = one.join(sets.withColumnsRenamed({"cid": "b", "words": "wb"}), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return two.where(shared >= F.lit(SIMILARITY) * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b")
-
-
-def linked(classes: DataFrame) -> DataFrame:
-    """(vertex, root) of every class with a verified link: the smallest class it is linked with, also through others."""
-    sets = classes.where(F.size("words") > 0).select("cid", "nh", "words")
-    crowded = common.written(sets.groupBy("nh").count().where(F.col("count") > HOT).select("nh"), "crowded")
-    signed, lone = sets.join(crowded, "nh", "left_semi").select("cid", "nh", "words"), sets.join(crowded, "nh", "left_anti").select("cid", "nh", "words")
-    # At most BANDS / HEAVY bands can hold that share of all sets.
-    many = heavy_bands(signed).where(F.col("n") >= HEAVY * classes.count())
-    heavy = {r.band: r.n // SALT_ROWS + 1 for r in many.collect()}
-    rows = band_rows(signed, heavy, True).unionByName(band_rows(lone, {}, False)).repartition("key").sortWithinPartitions("key")
-    read = common.written(rows.mapInArrow(_band_reader(sorted(heavy)), "hot boolean, band long, a long, b long, sketch long, n long, like boolean"), "candidates")
-    found = read.where("NOT hot").select("a", "b").distinct()
-    hot = read.where("hot").select("band", F.col("a").alias("cid"), F.col("b").alias("lead"), "sketch", "n", "like")
-    if hot.isEmpty():
-        return components.min_label(verified(found, classes))
-    # Bands of very many members: all against the first of their salt, the firsts against the first of the band;
-    # then what is still unlinked against all members, so that no pair of the band goes unseen.
-    firsts = hot.groupBy("band").agg(F.min("lead").alias("first"))
-    to_lead = hot.where("like AND cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
-    to_first = hot.select("band", "lead").distinct().join(firsts, "band").where("lead <> first").select(F.col("first").alias("a"), F.col("lead").alias("b"))
-    near = common.written(verified(found.unionByName(to_lead).unionByName(to_first).distinct(), classes), "near")
-    roots = common.written(components.min_label(near), "roots")
-    grouped = hot.join(roots.withColumnRenamed("vertex", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(firsts, "band")
-    lead_roots = grouped.where("cid = first").select("band", F.col("root").alias("lead_root")).distinct()
-    marked = common.written(grouped.join(lead_roots, "band").select("band", "cid", "sketch", "n", "root", "lead_root"), "marked")
-    apart = marked.where("root <> lead_root").select("band", "cid", "sketch", "n", "root")
-    everyone = marked.select("band", F.col("cid").alias("did"), F.col("sketch").alias("other_sketch"), F.col("n").alias("m"), F.col("root").alias("other"))
-    more = apart.join(everyone, "band").where("root <> other").where(_alike_columns("sketch", "other_sketch", "m", "n"))
-    more = common.written(more.select(F.least("cid", "did").alias("a"), F.greatest("cid", "did").alias("b")).distinct(), "more")
-    if more.isEmpty():
-        return roots
-    # The groups so far are linked as wholes.
-    own = roots.select(F.col("vertex").alias("v"), F.col("root").alias("r"))
-    extra = verified(more, classes)
+def linked(keyed: DataFrame, heads: DataFrame) -> DataFrame:
+    """(vertex, root) of every class with a link: the smallest class it is linked with, also through others.
+
+    ``keyed`` has the rows (k1, nh, words) of all classes, ``heads`` each class once (k1, nh, cid).
+    """
+    sets = keyed.where(F.size("words") > 0).select(F.col("k1").alias("cid"), "nh", "words")
+    # At most one in HOT of all classes.
+    crowded = np.array([r.nh for r in heads.groupBy("nh").count().where(F.col("count") > HOT).select("nh").collect()], np.int64)
+    known = frequent_words(sets)
+    if not len(known):
+        return heads.where("false").select(F.col("cid").alias("vertex"), F.col("cid").alias("root"))
+    total = heads.where(F.col("nh").isin(crowded.tolist()) if len(crowded) < 100 else F.lit(True)).count()
+    heavy = heavy_groups(sets, crowded, total) if len(crowded) and total > SALT_ROWS else {}
+    rows = sent_rows(sets, crowded, known, heavy).repartition("key").sortWithinPartitions("key")
+    found = common.written(rows.mapInArrow(_group_reader(len(known)), "a long, b long"), "near").distinct()
     for side in ("a", "b"):
-        extra = extra.join(own, F.col(side) == F.col("v"), "left").withColumn(side, F.coalesce("r", side)).drop("v", "r")
-    top = common.written(components.min_label(extra), "top")
-    over = roots.join(top.select(F.col("root").alias("r"), F.col("vertex").alias("root")), "root", "left").select("vertex", F.coalesce("r", "root").alias("root"))
-    return over.unionByName(top.join(roots, "vertex", "left_anti").select("vertex", "root"))
+        found = found.join(heads.select(F.col("k1").alias(side), F.col("cid").alias(f"cid_{side}")), side)
+    return components.min_label(found.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")))
 
 
 def similar_groups(rows: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
@@ -289,12 +276,10 @@ def similar_groups(rows: DataFrame, id_col: str = "row_id", text_col: str = "tex
     keyed = wordsets.word_rows(rows.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")), "text")
     keyed = common.written(keyed, "wordrows")
     heads = keyed.groupBy("k1", "k2").agg(F.min("row_id").alias("cid"))
-    members = keyed.select("row_id", "k1", "k2").join(heads, ["k1", "k2"]).select("row_id", "cid")
+    members = keyed.select("row_id", "nh", "k1", "k2").join(heads, ["k1", "k2"]).select("row_id", "cid", "k1", "nh")
     members = common.written(members, "members")
-    classes = keyed.join(members.where("row_id = cid").select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("cid"), "nh", "words")
-    classes = common.written(classes, "classes")
-    roots = linked(classes)
-    return members.join(roots.withColumnsRenamed({"vertex": "cid"}), "cid", "left").select("row_id", F.coalesce("root", "cid").alias("first_id"))
+    roots = linked(keyed, members.where("row_id = cid").select("k1", "nh", "cid"))
+    return members.select("row_id", "cid").join(roots.withColumnsRenamed({"vertex": "cid"}), "cid", "left").select("row_id", F.coalesce("root", "cid").alias("first_id"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rolloutlake.llm import closepairs, minhash, segjoin
+from rolloutlake.llm import closepairs, minhash, neartree, segjoin
 
 RARE = [f"w{k}x" for k in range(400)]
 COMMON = ["the", "a", "of", "to", "in", "is", "that"]
@@ -215,3 +215,39 @@ def test_template_text_leaves_few_candidates_and_drops_none(spark):
         got = [(r.a, r.b) for r in closepairs.candidates(left, right, width, known, bits).collect()]
         want = {(a, b) for a in range(0, 900, 2) for b in range(1, 900, 2) if len(set(sets[a]) ^ set(sets[b])) <= segjoin.edit_bound(len(sets[a]) + len(sets[b]))}
         assert len(want) > 100 and want <= set(got) and len(got) == len(set(got)) and len(got) < len(want) + 450 * 450 // 100
+
+
+@pytest.mark.parametrize("salt_rows", [10_000, 300])
+def test_one_template_leaves_few_comparisons_and_loses_no_pair(spark, monkeypatch, salt_rows):
+    """Sets that share a template of half their words: comparisons do not grow with the square of the sets."""
+    monkeypatch.setattr(minhash, "HOT", 100)
+    monkeypatch.setattr(minhash, "SALT_ROWS", salt_rows)
+    rng = np.random.default_rng(7)
+    name = lambda head, k: head + "".join(chr(97 + int(d)) for d in str(k))
+    template = [name("f", k) for k in range(20)]
+    sets = [template + [name("r", k) for k in rng.choice(600, 20, replace=False)] for _ in range(2000)]
+    near = rng.choice(2000, 200, replace=False)
+    # Rewrites at a similarity of 35 to 45.
+    sets += [sets[k][:35] + [name("n", 5 * k + j) for j in range(5)] for k in near]
+    rows = [(k, " ".join(words)) for k, words in enumerate(sets)]
+    got = {r.row_id: r.first_id for r in minhash.similar_groups(spark.createDataFrame(rows, "row_id long, text string")).collect()}
+    assert got == {**{k: k for k in range(2000)}, **{2000 + j: int(k) for j, k in enumerate(near)}}
+
+
+def test_parts_of_a_template_are_not_compared_with_all(monkeypatch):
+    monkeypatch.setattr(neartree, "LEAF", 60)
+    looked = []
+    monkeypatch.setattr(neartree.Finder, "one_by_one", lambda self, rows, sizes, own=neartree.Finder.one_by_one: (looked.append(int((sizes * (sizes - 1) // 2).sum())), own(self, rows, sizes))[1])
+    rng = np.random.default_rng(3)
+    told = []
+    for count in (1000, 4000):
+        looked.clear()
+        words = [np.sort(np.append(np.arange(8), 8 + rng.choice(600, 12, replace=False))) for _ in range(count)]
+        words += [np.append(w[:17], 620 + np.arange(3) + 3 * (k % 20)) for k, w in enumerate(words[:100])]
+        n = np.array([len(w) for w in words])
+        i, j = neartree.near_pairs(np.zeros(len(n), np.int64), neartree.Sets(np.concatenate(words).astype(np.int32), n, 700), 60, np.arange(len(n)))
+        # Each pair meets in one group of the six with a chance above 0.95.
+        assert len({(k, count + k) for k in range(100)} & set(zip(i.tolist(), j.tolist()))) >= 90
+        told.append(sum(looked))
+    # Four times the sets have sixteen times the pairs.
+    assert told[1] < 12 * told[0] and told[1] < 4100 * 4100 // 2 // 15
