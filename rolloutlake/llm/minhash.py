@@ -33,7 +33,6 @@ COORDINATES = ROUTES[-1] * len(ROUTES)
 #: Sets whose signatures are worked out side by side.
 PIECE = 128
 PLACES = 1 << 20
-SIMILARITY = 0.7
 #: Largest group that is compared pair by pair; rows from which a group takes one more coordinate, or salts.
 HOT = 2000
 SALT_ROWS = 150_000
@@ -258,12 +257,12 @@ def linked(keyed: DataFrame, heads: DataFrame) -> DataFrame:
     """
     sets = keyed.where(F.size("words") > 0).select(F.col("k1").alias("cid"), "nh", "words")
     # At most one in HOT of all classes.
-    crowded = np.array([r.nh for r in heads.groupBy("nh").count().where(F.col("count") > HOT).select("nh").collect()], np.int64)
+    many = heads.groupBy("nh").count().where(F.col("count") > HOT).collect()
+    crowded, total = np.array([r.nh for r in many], np.int64), sum(r["count"] for r in many)
     known = frequent_words(sets)
     if not len(known):
         return heads.where("false").select(F.col("cid").alias("vertex"), F.col("cid").alias("root"))
-    total = heads.where(F.col("nh").isin(crowded.tolist()) if len(crowded) < 100 else F.lit(True)).count()
-    heavy = heavy_groups(sets, crowded, total) if len(crowded) and total > SALT_ROWS else {}
+    heavy = heavy_groups(sets, crowded, total) if total > SALT_ROWS else {}
     rows = sent_rows(sets, crowded, known, heavy).repartition("key").sortWithinPartitions("key")
     found = common.written(rows.mapInArrow(_group_reader(len(known)), "a long, b long"), "near").distinct()
     for side in ("a", "b"):
